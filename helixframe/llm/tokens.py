@@ -1,11 +1,11 @@
 """Token ids of whole texts by the ``tokenizers`` library, fast on large corpora.
 
 A byte-level BPE splits a text into pieces before it merges bytes, and no piece reaches
-over a blank that has no other white space beside it: such a blank begins a piece. So a
-text falls into chunks that start at those blanks, and the ids of the text are the ids
-of its chunks in order. Each chunk goes through the library once per worker and is then
-kept, which is several times faster than encoding the text as one string. Tokenizers of
-another make (a normalizer, another splitting rule) get whole texts.
+over certain places: before a blank that has no other white space beside it, before a
+stop or comma that follows a letter or digit, and around a lone line end. A text is cut
+at those places and its ids are those of the parts in order. Each part goes through the
+library once per worker and is then kept, several times faster than encoding the text as
+one string. Tokenizers of another make (a normalizer, another rule) get whole texts.
 """
 
 from __future__ import annotations
@@ -13,11 +13,21 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 
-import numpy as np
-
 _AT_BLANK = re.compile(r"(?<=\S) (?=\S)")
+#: A stop or comma after anything but a letter or digit.
+_LOOSE_STOP = re.compile(r"[.,](?<=[\W_].)", re.DOTALL)
+#: White space other than blanks and line ends, and the mark that cuts use.
+_OTHER_SPACE = re.compile("[\0\t\r\v\f\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+
+
+def _simple(text: str) -> bool:
+    """Whether each blank, line end, stop and comma of ``text`` is a place to cut."""
+    return not (text[0] in " \n.," or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or _LOOSE_STOP.search(text) or _OTHER_SPACE.search(text))
+
+
 _LOADED: dict[tuple[str, int], "ChunkEncoder"] = {}
 
 
@@ -34,7 +44,7 @@ class ChunkEncoder:
     ``keep``: chunks that are kept in memory at most, in two generations.
     """
 
-    def __init__(self, path: str, keep: int = 400_000):
+    def __init__(self, path: str, keep: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core
         from tokenizers import Tokenizer
 
@@ -51,44 +61,31 @@ class ChunkEncoder:
             and pre.get("use_regex", True)
             and not pre.get("add_prefix_space")
         )
+        self.merges = self.tokenizer.model.tokenize
         self.vocab_size = self.tokenizer.get_vocab_size()
         self.keep = keep // 2
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {}
         self.chars = _byte_chars()
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _word(self, word: str) -> bytes:
-        """``word``: a blank and letters, which the library never splits further."""
-        piece = word.encode().decode("latin-1").translate(self.chars)
-        return np.array([t.id for t in self.tokenizer.model.tokenize(piece)], "<u4").tobytes()
-
-    def _chunk(self, body: str) -> bytes:
-        """Ids of a blank and ``body``, which has no white space at its ends."""
-        core = body.rstrip(".,")
-        if core and core.isalpha() and max(core) < "ɐ":
-            tail = body[len(core) :]
-            if tail and tail not in self.tails:
-                if len(self.tails) > 10_000:
-                    self.tails.clear()
-                self.tails[tail] = self._whole(tail)
-            return self._word(" " + core) + (self.tails[tail] if tail else b"")
-        return self._whole(" " + body)
-
-    def _missed(self, body: str) -> bytes | None:
-        """None where ``body`` has white space at an end, so that the cut may be wrong."""
-        if not body or body[0].isspace() or body[-1].isspace():
-            return None
-        out = self.old.get(body)
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _part(self, part: str) -> bytes:
+        """Ids of ``part`` by itself, kept unless it is long."""
+        if not part:
+            return b""
+        out = self.old.get(part)
         if out is None:
-            out = self._chunk(body)
-        if len(body) <= 64:
+            core = part[1:] if part[0] == " " else part
+            if core.isalpha() and max(core) < "ɐ":  # one piece: straight to the merges
+                out = array("I", [t.id for t in self.merges(part.encode().decode("latin-1").translate(self.chars))]).tobytes()
+            else:
+                out = self._whole(part)
+        if len(part) <= 64:
             if len(self.young) >= self.keep:
                 self.old, self.young = self.young, {}
-            self.young[body] = out
+            self.young[part] = out
         return out
 
     def encode(self, text: str) -> bytes:
@@ -96,29 +93,20 @@ class ChunkEncoder:
             return b""
         if not self.by_chunk:
             return self._whole(text)
-        parts = text.split(" ")
+        if _simple(text):
+            parts = text.replace(" ", "\0 ").replace(".", "\0.").replace(",", "\0,").replace("\n", "\0\n\0").split("\0")
+        else:
+            parts = _AT_BLANK.split(text)
+            parts[1:] = [" " + x for x in parts[1:]]
         got = list(map(self.young.get, parts))
-        got[0] = self._whole(parts[0]) if parts[0] else b""
-        if parts[0] == "" or parts[0][-1].isspace():
-            return self._careful(text)
         if None in got:
             for i, known in enumerate(got):
                 if known is None:
-                    known = got[i] = self._missed(parts[i])
-                    if known is None:
-                        return self._careful(text)
+                    got[i] = self._part(parts[i])
         return b"".join(got)
 
-    def _careful(self, text: str) -> bytes:
-        parts = _AT_BLANK.split(text)
-        out = [self._whole(parts[0])]
-        for body in parts[1:]:
-            known = self.young.get(body) or self._missed(body)
-            out.append(self._whole(" " + body) if known is None else known)
-        return b"".join(out)
-
 
-def encoder(path: str, keep: int = 400_000) -> ChunkEncoder:
+def encoder(path: str, keep: int = 800_000) -> ChunkEncoder:
     """The worker's own encoder; it and what it has kept serve all tasks of the worker."""
     if (path, keep) not in _LOADED:
         _LOADED[path, keep] = ChunkEncoder(path, keep)
