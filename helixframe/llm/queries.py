@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, line_dedup, packing, token_files
+from . import chat, decontamination, line_dedup, packing, secrets, simhash, token_files, topk
 from .shared import tables, written
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -56,11 +56,42 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.simhash_components(tables(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.hex("fingerprint")).alias("fingerprint"), "component_id")
+
+
+def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = tables(spark, sf_dir, "embeddings")
+    return topk.exact_top_k(vectors, vectors.where(F.col("vec_id") % 20 == 0))
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(tables(spark, sf_dir, "documents"))
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+    return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(secrets.listed(F.col("base")), 256).alias("base_sha256"), secrets.listed(F.array_sort(F.concat("base", "added"))).alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_chat_format": op2_chat_format,
+    "op4_simhash": op4_simhash,
     "op5_line_dedup": op5_line_dedup,
     "op6_token_binary": op6_token_binary,
     "op7_decontamination": op7_decontamination,
+    "op8_exact_top_k": op8_exact_top_k,
+    "op9_secret_scan": op9_secret_scan,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op5_line_dedup": OP5_SQL,
+    "op8_exact_top_k": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(CAST(q.e AS DOUBLE[]), CAST(c.e AS DOUBLE[])) AS BIGINT) AS score
+  FROM v q, v c WHERE q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id
+), r AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+) SELECT * FROM r WHERE rank <= 20""",
 }
-ORACLE_SQL: dict[str, str] = {"op5_line_dedup": OP5_SQL}
