@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, line_dedup, packing, secrets, simhash, suffix_dedup, token_files, topk
+from . import chat, decontamination, line_dedup, packing, quality, secrets, simhash, suffix_dedup, token_files, topk
 from .shared import tables, written
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -77,6 +77,11 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(secrets.listed(F.col("base")), 256).alias("base_sha256"), secrets.listed(F.array_sort(F.concat("base", "added"))).alias("spans"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.classify(tables(spark, sf_dir, "documents"), tables(spark, sf_dir, "labels"))
+    return found.select("doc_id", "keep", "p_low", "p_toxic", "prior_low", "prior_toxic")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_chat_format": op2_chat_format,
@@ -87,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_decontamination": op7_decontamination,
     "op8_exact_top_k": op8_exact_top_k,
     "op9_secret_scan": op9_secret_scan,
+    "op10_quality": op10_quality,
 }
 ORACLE_SQL: dict[str, str] = {
     "op5_line_dedup": OP5_SQL,

@@ -54,23 +54,22 @@ def majority_bits(digests: bytes, width: int) -> bytes:
     return np.packbits(2 * ones > n).tobytes()
 
 
-def fingerprints(docs: DataFrame, shingle_words: int = 3, seeds: tuple[int, ...] = (42,), distinct: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fingerprint): 8 bytes for each seed, from the XXH64 of the shingles, repeats
-    included unless ``distinct``."""
+def _stir(x: np.ndarray, salt: int) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30)) ^ np.uint64(salt)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def fingerprints(docs: DataFrame, shingle_words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, fingerprint): 8 bytes, from the XXH64 (seed 42) of the shingles, repeats included."""
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("fingerprint", T.BinaryType())])
 
     def run(batches):
         for batch in in_slices(batches):
             out = []
             for text in batch.column(1).to_pylist():
-                parts = shingles(text, shingle_words)
-                if distinct:
-                    parts = list(set(parts))
-                words = []
-                for seed in seeds:
-                    digests = b"".join([xxhash.xxh64_digest(p, seed) for p in parts])
-                    words.append(majority_bits(digests, 8))
-                out.append(b"".join(words))
+                digests = b"".join([xxhash.xxh64_digest(p, 42) for p in shingles(text, shingle_words)])
+                out.append(majority_bits(digests, 8))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=schema.names)
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)
@@ -116,11 +115,12 @@ def _close(left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.ndarray
     return np.nonzero(apart <= radius)
 
 
-def tiled_links(keyed: DataFrame, radius: int) -> DataFrame:
+def tiled_links(keyed: DataFrame, radius: int, words: int = 1) -> DataFrame:
     """Links (a, b) between nodes of one key within ``radius`` bits: of each key a spanning
     forest, so that components are whole. ``keyed``: key, node (long), fingerprint."""
     schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
-    shared = keyed.withColumn("ones", F.bit_count(F.conv(F.hex(F.substring("fingerprint", 1, 8)), 16, -10).cast("long")))
+    ones = sum((F.bit_count(F.conv(F.hex(F.substring("fingerprint", 8 * i + 1, 8)), 16, -10).cast("long")) for i in range(words)), F.lit(0))
+    shared = keyed.withColumn("ones", ones)
     ordered = shared.repartition("key").sortWithinPartitions("key", "ones", "fingerprint").select("key", "node", "fingerprint")
 
     def run(batches):
@@ -132,7 +132,7 @@ def tiled_links(keyed: DataFrame, radius: int) -> DataFrame:
             nodes = np.asarray(batch.column(1))
             raw = batch.column(2).to_pylist()
             rows = np.frombuffer(b"".join(raw), ">u8").reshape(len(raw), -1).astype(np.uint64)
-            ones = np.bitwise_count(rows[:, 0]).astype(np.int64)
+            ones = np.bitwise_count(rows).sum(axis=1, dtype=np.int64)
             cuts = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
             out: list[tuple[int, int]] = []
             for a, b in zip(cuts, cuts[1:]):
@@ -168,5 +168,51 @@ def grouped(marked: DataFrame, links_of, id_col: str = "doc_id") -> DataFrame:
 
 def simhash_components(docs: DataFrame, shingle_words: int = 3, radius: int = 2, blocks: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fingerprint, component_id) of 64-bit fingerprints linked within ``radius`` bits."""
-    marked = written(fingerprints(docs, shingle_words, (42,), False, id_col, text_col), "fingerprints")
+    marked = written(fingerprints(docs, shingle_words, id_col, text_col), "fingerprints")
     return grouped(marked, lambda nodes: tiled_links(keyed_by_blocks(nodes, radius, blocks), radius), id_col)
+
+
+#: Words of a near-copy fingerprint, and the bits that may differ. Texts whose shingle sets
+#: have a similarity of 0.8 differ in 39 of 256 bits in the mean, with a deviation of 6.
+WORDS, RADIUS = 4, 48
+#: Keys of a text and the least hashes in each: two texts of similarity 0.8 share none of
+#: the keys once in a million.
+BANDS, ROWS = 20, 3
+
+
+def wide_fingerprints(docs: DataFrame, shingle_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, fingerprint, keys): ``WORDS`` words of SimHash over the distinct shingles, and
+    ``BANDS`` keys from the least hashes under as many orders, which near copies share."""
+    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("fingerprint", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+    odd = np.random.default_rng(7).integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
+
+    def run(batches):
+        for batch in in_slices(batches):
+            prints, keys = [], []
+            for text in batch.column(1).to_pylist():
+                digests = b"".join([xxhash.xxh64_digest(p, 42) for p in set(shingles(text, shingle_words))])
+                base = np.frombuffer(digests, ">u8").astype(np.uint64)
+                prints.append(b"".join(majority_bits(_stir(base, salt).astype(">u8").tobytes(), 8) for salt in range(1, WORDS + 1)))
+                if len(base) == 0:
+                    keys.append([0])
+                    continue
+                least = np.array([(base * o).min() for o in odd]).reshape(BANDS, ROWS)
+                mixed = np.arange(BANDS, dtype=np.uint64)
+                for r in range(ROWS):
+                    mixed = _stir(mixed + least[:, r], 11 + r)
+                keys.append(mixed.view(np.int64).tolist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=schema.names)
+
+    return docs.select(id_col, text_col).mapInArrow(run, schema)
+
+
+def near_copies(docs: DataFrame, shingle_words: int = 5, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, fingerprint, component_id): groups of texts of similarity 0.8 or more on word
+    shingles, by wide fingerprints within ``radius`` bits.
+
+    So wide a radius leaves no bit block that must agree, so the tiles are formed from keys
+    of least hashes instead; what is linked is decided by the fingerprints alone.
+    """
+    marked = written(wide_fingerprints(docs, shingle_words, id_col, text_col), "fingerprints")
+    keys = marked.groupBy("fingerprint").agg(F.min_by("keys", id_col).alias("keys"), F.min(id_col).alias("node"))
+    return grouped(marked.select(id_col, "fingerprint"), lambda _: tiled_links(keys.select(F.explode("keys").alias("key"), "node", "fingerprint"), radius, WORDS), id_col)
