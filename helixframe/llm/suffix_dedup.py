@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from zstandard import ZstdCompressor, ZstdDecompressor
 
 from .shared import written
 from .tokens import in_slices
@@ -187,6 +188,19 @@ def _by_document(ids: np.ndarray, tags: np.ndarray, *columns: np.ndarray) -> Ite
         yield int(ids[a]), int(tags[a]), *[c[order[a:b]] for c in columns]
 
 
+def _packed_texts(keyed: DataFrame) -> DataFrame:
+    """(id, tag, packed): texts as compressed bytes, for joins that move them."""
+    schema = T.StructType([*keyed.schema.fields[:-1], T.StructField("packed", T.BinaryType())])
+
+    def run(batches):
+        tight = ZstdCompressor(level=3)
+        for batch in in_slices(batches):
+            data = [tight.compress((x or "").encode("utf-8", "surrogatepass")) for x in batch.column(len(schema) - 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(data, pa.binary())], names=schema.names)
+
+    return keyed.mapInArrow(run, schema)
+
+
 _FOUND = T.StructType([T.StructField("id", T.LongType()), T.StructField("tag", T.LongType()), T.StructField("blob", T.BinaryType())])
 
 
@@ -203,14 +217,15 @@ def repeated_spans(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("tag"), F.col(text_col).alias("text"))
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     buckets = max(1, -(-size // BUCKET))
-    record = np.dtype([("least", "<u8"), ("doc", "<u4"), ("start", "<u4"), ("windows", "<u2")])
+    # The bucket says the rest of a minimizer; where two share what is left, both are looked at.
+    record = np.dtype([("least", "<u4"), ("doc", "<u2"), ("start", "<u4"), ("windows", "u1")])
 
     def minimizers(batches):
         for ids, tags, texts in _documents(batches, 2048, 4 << 20):
             least, row, start, windows = _stretches(ids, texts, length)
             out = np.empty(len(least), record)
-            out["least"], out["doc"], out["start"], out["windows"] = least, row, start, windows
             bucket = (least % np.uint64(buckets)).astype(np.int64)
+            out["least"], out["doc"], out["start"], out["windows"] = (least // np.uint64(buckets)).astype(np.uint32), row, start, windows
             order = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
             used = [k for k in range(buckets) if cuts[k + 1] > cuts[k]]
@@ -218,9 +233,9 @@ def repeated_spans(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
             yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([docs_of[0]] * len(used), pa.binary()), pa.array([docs_of[1]] * len(used), pa.binary()), pa.array([out[order[cuts[k] : cuts[k + 1]]].tobytes() for k in used], pa.binary())], names=["bucket", "ids", "tags", "records"])
 
     def in_two_documents(batches):
-        parts, ids, tags = [], [], []
+        parts, ids, tags, number = [], [], [], 0
         for batch in batches:
-            for i, t, r in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3))):
+            for number, i, t, r in zip(*(batch.column(c).to_pylist() for c in (0, 1, 2, 3))):
                 r = np.frombuffer(r, record)
                 parts.append(r)
                 ids.append(np.frombuffer(i, "<i8")[r["doc"]])
@@ -233,44 +248,48 @@ def repeated_spans(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
         cuts = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
         many = np.minimum.reduceat(line, cuts) < np.maximum.reduceat(line, cuts)
         keep = order[np.repeat(many, np.diff(np.append(cuts, len(line))))]
-        found = [(i, t, r.tobytes()) for i, t, r in _by_document(ids[keep], tags[keep], all_[keep])] if len(keep) else []
+        head = np.array([number], "<i4").tobytes()
+        found = [(i, t, head + r.tobytes()) for i, t, r in _by_document(ids[keep], tags[keep], all_[keep])] if len(keep) else []
         for a in range(0, len(found), 4096):
             yield _rows(found[a : a + 4096])
 
     first = keyed.mapInArrow(minimizers, _blob_schema("ids", "tags", "records")).repartitionById(buckets, F.col("bucket"))
     shared = written(first.mapInArrow(in_two_documents, _FOUND), "shared-minimizers")
     per_doc = shared.groupBy("id", "tag").agg(F.collect_list("blob").alias("blobs"))
-    held = keyed.dropDuplicates(["id", "tag"]).join(per_doc, ["id", "tag"]).select("id", "tag", "text", "blobs")
+    held = _packed_texts(keyed).join(per_doc, ["id", "tag"]).select("id", "tag", "packed", "blobs")
 
     def stretches(batches):
+        loose, tight = ZstdDecompressor(), ZstdCompressor(level=3)
         for batch in in_slices(batches, 256):
             ids, tags = (np.asarray(batch.column(k)) for k in (0, 1))
-            records, data = [], []
+            records, numbers, data = [], [], []
             for row, (text, blobs) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
-                text = (text or "").encode("utf-8", "surrogatepass")
-                r = np.frombuffer(b"".join(blobs), record).copy()
-                r["doc"] = row
-                records.append(r)
-                data += [text[s : s + w + length - 1] for s, w in zip(r["start"].tolist(), r["windows"].tolist())]
+                text = loose.decompress(text)
+                for blob in blobs:
+                    r = np.frombuffer(blob, record, offset=4).copy()
+                    r["doc"] = row
+                    records.append(r)
+                    numbers.append(np.full(len(r), np.frombuffer(blob, "<i4", 1)[0]))
+                    data += [text[s : s + w + length - 1] for s, w in zip(r["start"].tolist(), r["windows"].tolist())]
             if not data:
                 continue
-            records = np.concatenate(records)
-            bucket = (records["least"] % np.uint64(buckets)).astype(np.int64)
+            records, bucket = np.concatenate(records), np.concatenate(numbers)
             order = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
             used = [k for k in range(buckets) if cuts[k + 1] > cuts[k]]
             mine = [order[cuts[k] : cuts[k + 1]] for k in used]
             docs_of = ids.astype("<i8").tobytes(), tags.astype("<i8").tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([docs_of[0]] * len(used), pa.binary()), pa.array([docs_of[1]] * len(used), pa.binary()), pa.array([records[m].tobytes() for m in mine], pa.binary()), pa.array([b"".join([data[i] for i in m]) for m in mine], pa.binary())], names=["bucket", "ids", "tags", "records", "bytes"])
+            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([docs_of[0]] * len(used), pa.binary()), pa.array([docs_of[1]] * len(used), pa.binary()), pa.array([records[m].tobytes() for m in mine], pa.binary()), pa.array([tight.compress(b"".join([data[i] for i in m])) for m in mine], pa.binary())], names=["bucket", "ids", "tags", "records", "bytes"])
 
     def expand(batches):
+        loose = ZstdDecompressor()
         names: dict[bytes, int] = {}
         texts: list[bytes] = []
         least_of: list[int] = []
         seen: list[tuple] = []
         for batch in batches:
             for i, t, r, data in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3, 4))):
-                r = np.frombuffer(r, record)
+                r, data = np.frombuffer(r, record), loose.decompress(data)
                 at, which = 0, []
                 for w, m in zip(r["windows"].tolist(), r["least"].tolist()):
                     piece = data[at : at + w + length - 1]
@@ -287,7 +306,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
         ids, tags, start, which = (np.concatenate(x) for x in zip(*seen))
         owner = np.full(len(texts), _TOP)
         np.minimum.at(owner, which, ids)
-        order = np.argsort(np.array(least_of, np.uint64), kind="stable").tolist()
+        order = np.argsort(np.array(least_of, np.uint32), kind="stable").tolist()
         result: list[np.ndarray] = [np.empty(0, np.int64)] * len(texts)
         a = size = 0
         for b, k in enumerate(order):  # blocks end where the minimizer changes
@@ -326,15 +345,16 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     """Per row of ``docs``: id, n_bytes, n_removed, n_spans, spans (array of from, to), kept (bytes)."""
     spans = repeated_spans(docs, length, id_col, text_col)
     keyed = docs.select(F.col(id_col).alias("own"), F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("tag"), F.col(text_col).alias("text"))
-    joined = keyed.join(spans, ["id", "tag"], "left").select("own", "text", "spans")
+    joined = _packed_texts(keyed).join(spans, ["id", "tag"], "left").select("own", "packed", "spans")
     pair = T.StructType([T.StructField("first", T.LongType()), T.StructField("end", T.LongType())])
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("spans", T.ArrayType(pair)), T.StructField("kept", T.BinaryType())])
 
     def cut(batches):
+        loose = ZstdDecompressor()
         for batch in in_slices(batches):
             sizes, gone, counts, spans_of, kept = [], [], [], [], []
             for text, blobs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                data = (text or "").encode("utf-8", "surrogatepass")
+                data = loose.decompress(text)
                 runs: list[list[int]] = []
                 for a, b in sorted(map(tuple, np.frombuffer(b"".join(blobs or []), "<i4").reshape(-1, 2).tolist())):
                     if runs and a <= runs[-1][1]:
