@@ -52,7 +52,7 @@ def tokens(text: str | None) -> set[str]:
     return out
 
 
-def fit(rows: list[tuple[list[int], int]], size: int, rounds: int = 30, rate: float = 0.5, shrink: float = 1e-4) -> tuple[np.ndarray, float]:
+def fit(rows: list[tuple[list[int], int]], size: int, rounds: int = 300, rate: float = 0.5, shrink: float = 1e-4) -> tuple[np.ndarray, float]:
     """Weights and offset of a logistic model over sets of token numbers (batch Adagrad)."""
     y = np.array([r[1] for r in rows], np.float64)
     if len(y) == 0 or y.min() == y.max():
@@ -73,6 +73,18 @@ def fit(rows: list[tuple[list[int], int]], size: int, rounds: int = 30, rate: fl
     return w, b
 
 
+def telling(rows: list[tuple[list[int], int]], size: int, least_z: float) -> np.ndarray:
+    """Which tokens' share of positive rows is ``least_z`` standard errors from the overall
+    share; all others would add noise that grows with a text's length."""
+    y = np.array([r[1] for r in rows], np.float64)
+    if len(y) == 0 or y.min() == y.max():
+        return np.zeros(size, bool)
+    n = np.bincount(np.concatenate([np.array(r[0], np.int64) for r in rows]), minlength=size)
+    hits = np.bincount(np.concatenate([np.array(r[0], np.int64) for r in rows if r[1]]), minlength=size)
+    p = y.mean()
+    return np.abs(hits - n * p) >= least_z * np.sqrt(np.maximum(n, 1) * p * (1 - p))
+
+
 class Evidence:
     """The fitted models: token -> (weight for low quality, weight for toxic), and offsets."""
 
@@ -87,7 +99,7 @@ class Evidence:
         return 1 / (1 + math.exp(-max(-_CLIP, min(_CLIP, low)))), 1 / (1 + math.exp(-max(-_CLIP, min(_CLIP, toxic))))
 
 
-def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = 8000, vocabulary: int = 50_000, least_docs: int = 4, id_col: str = "doc_id", text_col: str = "text") -> Evidence:
+def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = 8000, vocabulary: int = 50_000, least_docs: int = 4, least_z: float = 4.0, id_col: str = "doc_id", text_col: str = "text") -> Evidence:
     """Fit both models on at most ``fit_rows`` labelled documents."""
     chosen = labels.where(F.col(id_col).isNotNull()).select(id_col, "quality", "toxic").orderBy(F.xxhash64(id_col), "quality", "toxic").limit(fit_rows)
     found = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col)
@@ -104,8 +116,13 @@ def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = 8000, vocabulary:
     names = [t for t, n in sorted(df.items(), key=lambda x: (-x[1], x[0]))[:vocabulary] if n >= least_docs and t]
     number = {t: i for i, t in enumerate(names)}
     sets = [[number[t] for t in r[3].split("\n") if t in number] for r in rows]
-    low, toxic = (fit([(s, y) for s, y in zip(sets, values) if y is not None], len(names)) for values in ([None if r[1] is None else 1 - r[1] for r in rows], [r[2] for r in rows]))
-    return Evidence({t: (float(low[0][i]), float(toxic[0][i])) for t, i in number.items()}, (low[1], toxic[1]))
+    fits = []
+    for values in ([None if r[1] is None else 1 - r[1] for r in rows], [r[2] for r in rows]):
+        known = [(t, y) for t, y in zip(sets, values) if y is not None]
+        chosen = telling(known, len(names), least_z)
+        fits.append(fit([([i for i in t if chosen[i]], y) for t, y in known], len(names)))
+    (low, low_0), (toxic, toxic_0) = fits
+    return Evidence({t: (float(low[i]), float(toxic[i])) for t, i in number.items() if low[i] or toxic[i]}, (low_0, toxic_0))
 
 
 def evidence(docs: DataFrame, model: Evidence, keys: list[Column], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
