@@ -128,7 +128,7 @@ def nearest(points: DataFrame, intervals: DataFrame, key: str = "chrom", pos: st
     before = F.greatest(F.col("__at") - F.col("b.far") + 1, F.lit(0))
     after = F.greatest(F.col("a.lo") - F.col("__at"), F.lit(0))
     left = F.col("b").isNotNull() & (F.col("a").isNull() | (before <= after))
-    return swept.select(key, "__p.*", F.when(left, F.col("b.name")).otherwise(F.col("a.name")).alias("nearest"), F.when(left, before).otherwise(after).cast("long").alias("distance"))
+    return swept.select(key, "__p.*", F.when(left, F.col("b.name")).otherwise(F.col("a.name")).alias("nearest"), F.when(left, before).when(F.col("a").isNotNull(), after).cast("long").alias("distance"))
 
 
 def band_pairs(df: DataFrame, id_col: str, max_gap: int, scale: float, key: str = "chrom", kind: str | None = None) -> DataFrame:

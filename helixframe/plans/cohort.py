@@ -46,11 +46,11 @@ def two_class_cutoff(df: DataFrame, value: str) -> DataFrame:
     """The cutoff between two classes with the least summed squared deviation, by running sums.
 
     One row a sample is ordered, not one a read."""
-    w = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
     x = F.col(value).cast("double")
-    run = df.select(x.alias("x")).withColumns({"n": F.count(F.lit(1)).over(w.orderBy("x")), "s": F.sum("x").over(w.orderBy("x")), "q": F.sum(F.col("x") ** 2).over(w.orderBy("x")), "next": F.lead("x").over(Window.orderBy("x"))})
-    total = df.agg(F.count(F.lit(1)).alias("N"), F.sum(x).alias("S"), F.sum(x**2).alias("Q"))
-    cost = F.col("q") - F.col("s") ** 2 / F.col("n") + (F.col("Q") - F.col("q")) - (F.col("S") - F.col("s")) ** 2 / (F.col("N") - F.col("n"))
+    run = df.select(x.alias("x")).withColumns({"n": F.count(F.lit(1)).over(w), "s": F.sum("x").over(w), "q": F.sum(F.col("x") ** 2).over(w), "next": F.lead("x").over(Window.orderBy("x"))})
+    total = df.agg(F.count(F.lit(1)).alias("n_all"), F.sum(x).alias("s_all"), F.sum(x**2).alias("q_all"))
+    cost = F.col("q") - F.col("s") ** 2 / F.col("n") + (F.col("q_all") - F.col("q")) - (F.col("s_all") - F.col("s")) ** 2 / (F.col("n_all") - F.col("n"))
     return run.where("next IS NOT NULL").join(F.broadcast(total)).select(((F.col("x") + F.col("next")) / 2).alias("cutoff"), cost.alias("cost")).orderBy("cost", "cutoff").limit(1)
 
 
