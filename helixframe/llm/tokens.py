@@ -44,7 +44,7 @@ class ChunkEncoder:
     ``keep``: chunks that are kept in memory at most, in two generations.
     """
 
-    def __init__(self, path: str, keep: int = 800_000):
+    def __init__(self, path: str, keep: int = 1_600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core
         from tokenizers import Tokenizer
 
@@ -106,7 +106,7 @@ class ChunkEncoder:
         return b"".join(got)
 
 
-def encoder(path: str, keep: int = 800_000) -> ChunkEncoder:
+def encoder(path: str, keep: int = 1_600_000) -> ChunkEncoder:
     """The worker's own encoder; it and what it has kept serve all tasks of the worker."""
     if (path, keep) not in _LOADED:
         _LOADED[path, keep] = ChunkEncoder(path, keep)
