@@ -1,67 +1,5 @@
-"""What the operators share: the scratch folder, written tables and file access."""
+"""The shared folder and its tables, under the names that the operators use."""
 
-from __future__ import annotations
+from ..storage import _WRITTEN, rows_of, scratch_path, scratch_root, tables, written
 
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_OWN: dict[str, str] = {}
-_WRITTEN: list[str] = []
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
-
-    Only a session in which the setting is missing (a local test) gets a temporary
-    folder of its own.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = _OWN.setdefault("root", "file://" + tempfile.mkdtemp(prefix="helixframe-"))
-    return f"{base.rstrip('/')}/helixframe-{spark.sparkContext.applicationId}"
-
-
-def scratch_path(spark: SparkSession, tag: str) -> str:
-    return f"{scratch_root(spark)}/{tag}-{uuid.uuid4().hex}"
-
-
-def _clean() -> None:
-    spark = SparkSession.getActiveSession()
-    if spark is None:
-        return
-    try:
-        jvm = spark.sparkContext._jvm
-        conf = spark.sparkContext._jsc.hadoopConfiguration()
-        for path in _WRITTEN:
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(conf).delete(p, True)
-    except Exception:  # the session may already be down at exit
-        pass
-
-
-atexit.register(_clean)
-
-
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` as a Parquet table in the scratch folder, read again.
-
-    This cuts the lineage: what follows reads committed files, so an executor that is
-    lost later costs a reread and not the work before, and nothing upstream runs twice.
-    """
-    spark = df.sparkSession
-    path = scratch_path(spark, tag)
-    df.write.parquet(path)
-    _WRITTEN.append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def tables(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def rows_of(df: DataFrame) -> int:
-    """Rows of a written table, from the Parquet footers."""
-    return df.count()
+__all__ = ["_WRITTEN", "rows_of", "scratch_path", "scratch_root", "tables", "written"]
