@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import dna, encoders, genotype, numeric
-from .operators import folds, intervals, merge, metrics, ordered, reshape, rules
-from .plans import cohort, flow, recalibration, signal
+from .operators import calls, folds, intervals, merge, metrics, ordered, reshape, rules
+from .plans import assay, cohort, flow, recalibration, signal
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -533,3 +533,90 @@ def replace_partitions(spark, d):
     nation = t(spark, d, "nation").select("n_nationkey", "n_regionkey")
     new = t(spark, d, "region").select(F.col("r_regionkey").alias("n_nationkey"), F.lit(2).alias("n_regionkey"))
     return merge.replaced(nation, new, "n_regionkey").groupBy("n_regionkey").agg(F.count(F.lit(1)).alias("n"))
+
+
+_FILTERS = "CASE WHEN l_linenumber = 1 THEN l_returnflag || ';' || l_linestatus WHEN l_linenumber = 2 THEN l_returnflag WHEN l_linenumber = 3 THEN '' END"
+
+
+@query("filter_tokens_cleared", f"""WITH f AS (SELECT {_FILTERS} AS f FROM lineitem), k AS (SELECT f, list_filter(string_split(coalesce(f, ''), ';'), lambda x: x NOT IN ('', '.', 'N', 'O')) AS t FROM f)
+SELECT CASE WHEN len(t) > 0 THEN array_to_string(t, ';') ELSE 'PASS' END AS left_over, coalesce(nullif(f, ''), 'PASS') AS filled, coalesce(f, '') IN ('', '.', 'PASS') AS passes, count(*) AS n FROM k GROUP BY 1, 2, 3""")
+def filter_tokens_cleared(spark, d):
+    f = t(spark, d, "lineitem").select(F.expr(_FILTERS).alias("f"))
+    kinds = {"left_over": calls.cleared(F.col("f"), ["N", "O"]), "filled": calls.filled(F.col("f")), "passes": calls.is_pass(F.col("f"))}
+    return f.groupBy(*[c.alias(n) for n, c in kinds.items()]).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("vaf_above_background", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_discount >= 0.09 OR l_tax >= 0.07 OR (l_tax > 0 AND l_discount / l_tax >= 2) OR (l_discount > 0 AND l_tax / l_discount >= 2)")
+def vaf_above_background(spark, d):
+    x, y = F.col("l_discount"), F.col("l_tax")
+    kept = calls.above_background(F.array(x, y), F.array(y, x), 2.0, 0.09) | (y >= 0.07)
+    return t(spark, d, "lineitem").where(kept).select("l_orderkey", "l_linenumber")
+
+
+@query("mate_pairs", "SELECT a.l_orderkey, a.l_suppkey, a.l_linenumber AS left_flag, b.l_linenumber AS right_flag FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey = b.l_suppkey AND a.l_linenumber <> b.l_linenumber")
+def mate_pairs(spark, d):
+    rows = t(spark, d, "lineitem").select("l_orderkey", "l_suppkey", "l_linenumber")
+    return calls.mates(rows, rows, "l_orderkey", "l_suppkey", "l_linenumber")
+
+
+@query("training_rows", """
+SELECT l_orderkey, l_linestatus AS ref, l_suppkey AS hmer_ref, l_partkey AS hmer_alt, l_linenumber + 1 AS edist, true AS label FROM lineitem WHERE l_returnflag = 'A' AND l_linenumber <> (SELECT max(l_linenumber) FROM lineitem WHERE l_returnflag = 'A')
+UNION ALL SELECT l_orderkey, l_returnflag, l_partkey, l_suppkey, l_linenumber, false FROM lineitem WHERE l_returnflag <> 'A'""")
+def training_rows(spark, d):
+    df = t(spark, d, "lineitem").select("l_orderkey", F.col("l_returnflag").alias("ref"), F.col("l_linestatus").alias("alt"), F.col("l_partkey").alias("hmer_ref"), F.col("l_suppkey").alias("hmer_alt"), F.col("l_linenumber").alias("edist"))
+    return calls.training_rows(df.where("ref = 'A'"), True).unionByName(calls.training_rows(df.where("ref <> 'A'"), False))
+
+
+@query("histograms_summed", "SELECT l_returnflag AS flag, CASE WHEN l_linenumber > 3 THEN l_linenumber END AS line, 2 * count(*) AS n FROM lineitem GROUP BY 1, 2")
+def histograms_summed(spark, d):
+    one = t(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("flag"), F.when(F.col("l_linenumber") > 3, F.col("l_linenumber")).alias("line")).agg(F.count(F.lit(1)).alias("n"))
+    return assay.summed([one, one], "n")
+
+
+@query("percent_histogram", """WITH c AS (SELECT event_type, ((least(floor(value / 10), 9) + 1) * 10)::INTEGER AS edge, count(*) AS n FROM events WHERE value BETWEEN 0 AND 100 GROUP BY 1, 2)
+SELECT *, round(n / sum(n) OVER (PARTITION BY event_type), 8) AS share FROM c""")
+def percent_histogram(spark, d):
+    return assay.percent_histogram(t(spark, d, "events"), "value", ["event_type"]).withColumn("share", F.round("share", 8))
+
+
+@query("methylation_by_position", "SELECT l_returnflag, l_linenumber, round(100 * sum(l_quantity) / (sum(l_quantity) + sum(l_suppkey)), 8) AS percent FROM lineitem GROUP BY 1, 2")
+def methylation_by_position(spark, d):
+    return assay.methylation_by_position(t(spark, d, "lineitem"), "l_returnflag", "l_linenumber", "l_quantity", "l_suppkey").withColumn("percent", F.round("percent", 8))
+
+
+@query("histogram_truncated", """WITH h AS (SELECT l_returnflag AS g, l_quantity AS v, count(*) AS n FROM lineitem GROUP BY 1, 2),
+c AS (SELECT *, sum(n) OVER (PARTITION BY g ORDER BY v) - n AS b, sum(n) OVER (PARTITION BY g) AS s FROM h) SELECT g, v, n FROM c WHERE b / s < 0.9""")
+def histogram_truncated(spark, d):
+    h = t(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("g"), F.col("l_quantity").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    return assay.truncated(h, ["g"], "v", "n", 0.9)
+
+
+@query("histogram_mean", "SELECT l_returnflag AS g, round(avg(l_quantity), 8) AS mean, ceil(avg(l_quantity))::BIGINT AS whole FROM lineitem GROUP BY 1")
+def histogram_mean(spark, d):
+    h = t(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("g"), F.col("l_quantity").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    return assay.mean_of_histogram(h, ["g"], "v", "n").withColumn("mean", F.round("mean", 8))
+
+
+@query("category_counts", """WITH v AS (SELECT unnest(['A', 'F', 'O', 'X']) AS category)
+SELECT category, (SELECT count(*) FROM lineitem WHERE l_returnflag = category) AS l_returnflag, (SELECT count(*) FROM lineitem WHERE l_linestatus = category) AS l_linestatus FROM v""")
+def category_counts(spark, d):
+    df = t(spark, d, "lineitem").select("l_returnflag", "l_linestatus", F.lit(1).alias("n"))
+    return assay.category_counts(df, ["l_returnflag", "l_linestatus"], ["A", "F", "O", "X"], "n")
+
+
+@query("tag_consensus", "SELECT CASE WHEN p_size % 4 = p_partkey % 4 THEN (p_size % 4)::VARCHAR ELSE 'DISCORDANT' END AS category, round(count(*) / sum(count(*)) OVER (), 8) AS share FROM part WHERE p_partkey % 4 <> 3 GROUP BY 1")
+def tag_consensus(spark, d):
+    df = t(spark, d, "part").select((F.col("p_size") % 4).cast("string").alias("a"), (F.col("p_partkey") % 4).cast("string").alias("b"), F.lit(1).alias("n"))
+    return assay.consensus(df, "a", "b", "n", "3").withColumn("share", F.round("share", 8))
+
+
+@query("least_in_family", "SELECT o_custkey, o_totalprice, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey) AS r FROM orders) WHERE r = 1")
+def least_in_family(spark, d):
+    return assay.least_in_family(t(spark, d, "orders").select("o_custkey", "o_totalprice", "o_orderkey"), "o_custkey", "o_totalprice", "o_orderkey")
+
+
+@query("task_costs", """SELECT o_orderpriority AS task, round(sum(o_totalprice), 2) AS cost, round(avg(o_custkey) / 3600, 8) AS hours, min(o_orderstatus) AS instance FROM orders GROUP BY 1
+UNION ALL SELECT 'total', round(sum(o_totalprice), 2), round(sum(o_custkey) / 3600, 8), NULL FROM orders""")
+def task_costs(spark, d):
+    df = t(spark, d, "orders").withColumn("name", F.concat("o_orderpriority", F.lit("-"), F.col("o_orderkey").cast("string")))
+    return assay.task_costs(df, "name", "o_totalprice", "o_custkey", "o_orderstatus").select("task", F.round("cost", 2).alias("cost"), F.round("hours", 8).alias("hours"), "instance")
