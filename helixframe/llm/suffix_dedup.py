@@ -179,13 +179,61 @@ def _documents(batches, rows: int, size: int) -> Iterator[tuple[np.ndarray, np.n
                 a, total = b + 1, 0
 
 
-def _by_document(ids: np.ndarray, tags: np.ndarray, *columns: np.ndarray) -> Iterator[tuple]:
-    """(id, tag, columns) for each document, records together."""
-    order = np.lexsort((tags, ids))
-    ids, tags = ids[order], tags[order]
-    cuts = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (tags[1:] != tags[:-1])]))
-    for a, b in zip(cuts, np.append(cuts[1:], len(ids))):
-        yield int(ids[a]), int(tags[a]), *[c[order[a:b]] for c in columns]
+def _homes(ids: np.ndarray, tags: np.ndarray, homes: int) -> np.ndarray:
+    """The partition in which what is found about a document comes together."""
+    h = _mix(_mix(ids.astype("<i8").view(np.uint64), 0x9E3779B97F4A7C15) + tags.astype("<i8").view(np.uint64), 0xBF58476D1CE4E5B9)
+    return (h % np.uint64(homes)).astype(np.int32)
+
+
+def _to_homes(found: np.ndarray, homes: int) -> Iterator[pa.RecordBatch]:
+    """(bucket, blob): the records of ``found`` for each home, field by field."""
+    home = _homes(found["id"], found["tag"], homes)
+    order = np.lexsort((found["id"], home))
+    used, cuts = np.unique(home[order], return_index=True)
+    ends = np.append(cuts[1:], len(order))
+    for k in range(0, len(used), 1024):
+        blobs = [_fields(found[order[a:b]]) for a, b in zip(cuts[k : k + 1024], ends[k : k + 1024])]
+        yield pa.RecordBatch.from_arrays([pa.array(used[k : k + 1024], pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
+
+
+def _fields(records: np.ndarray) -> bytes:
+    return b"".join(records[name].tobytes() for name in records.dtype.names)
+
+
+def _from_fields(blob: bytes, dtype: np.dtype) -> np.ndarray:
+    out, at = np.empty(len(blob) // dtype.itemsize, dtype), 0
+    for name in dtype.names:
+        out[name] = np.frombuffer(blob, dtype[name], len(out), at)
+        at += len(out) * dtype[name].itemsize
+    return out
+
+
+def _at_home(batches, dtype: np.dtype, last: str) -> tuple[np.ndarray, np.ndarray]:
+    """All records of one home by document and then ``last``, and where each document starts."""
+    parts = [_from_fields(blob, dtype) for batch in batches for blob in batch.column(1).to_pylist()]
+    found = np.concatenate(parts) if parts else np.empty(0, dtype)
+    parts.clear()
+    found = found[np.lexsort((found[last], found["tag"], found["id"]))]
+    fresh = np.ones(len(found), bool)
+    fresh[1:] = (found["id"][1:] != found["id"][:-1]) | (found["tag"][1:] != found["tag"][:-1])
+    return found, np.flatnonzero(fresh)
+
+
+def _merged(found: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spans in order of documents and starts, with those that meet made one."""
+    if len(found) == 0:
+        return found, cuts
+    doc = np.zeros(len(found), np.int64)
+    doc[cuts[1:]] = 1
+    base = np.cumsum(doc) << 33
+    ends = np.maximum.accumulate(base + found["end"])
+    fresh = np.ones(len(found), bool)
+    fresh[1:] = base[1:] + found["first"][1:] > ends[:-1]
+    at = np.flatnonzero(fresh)
+    out = found[at]
+    stop = np.append(at[1:], len(found)) - 1
+    out["end"] = ends[stop] - base[stop]
+    return out, np.searchsorted(at, cuts)
 
 
 def _packed_texts(keyed: DataFrame) -> DataFrame:
@@ -204,21 +252,34 @@ def _packed_texts(keyed: DataFrame) -> DataFrame:
 _FOUND = T.StructType([T.StructField("id", T.LongType()), T.StructField("tag", T.LongType()), T.StructField("blob", T.BinaryType())])
 
 
-def _rows(found: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found) if found else [[]] * 3, (pa.int64(), pa.int64(), pa.binary()))], names=_FOUND.names)
+def _rows(found: np.ndarray, cuts: np.ndarray, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """(id, tag, blob): one row a document, with the bytes of the fields ``names``."""
+    ends = np.append(cuts[1:], len(found))
+    data = np.empty(len(found), np.dtype([(n, found.dtype[n]) for n in names]))
+    for n in names:
+        data[n] = found[n]
+    for k in range(0, len(cuts), 4096):
+        head = found[cuts[k : k + 4096]]
+        blobs = [data[a:b].tobytes() for a, b in zip(cuts[k : k + 4096], ends[k : k + 4096])]
+        yield pa.RecordBatch.from_arrays([pa.array(head["id"].copy()), pa.array(head["tag"].copy()), pa.array(blobs, pa.binary())], names=_FOUND.names)
 
 
 def repeated_spans(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, tag, spans): byte runs of each document that are to go; those without are left out.
 
     ``tag`` is the hash of the text, so that rows with one id are told apart; ``spans`` is
-    a list of blobs of little-endian 32-bit (from, to) pairs that may overlap.
+    a blob of little-endian 32-bit (from, to) pairs, in order and apart. What the buckets
+    find goes to each document's home as packed records, not as a row for each document
+    and bucket: there are as many homes as buckets, and a home holds as much text.
     """
     keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("tag"), F.col(text_col).alias("text"))
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     buckets = max(1, -(-size // BUCKET))
     # The bucket says the rest of a minimizer; where two share what is left, both are looked at.
     record = np.dtype([("least", "<u4"), ("doc", "<u2"), ("start", "<u4"), ("windows", "u1")])
+    place = np.dtype([("id", "<i8"), ("tag", "<i8"), ("bucket", "<i4"), ("least", "<u4"), ("start", "<u4"), ("windows", "u1")])
+    stored = np.dtype([(n, place[n]) for n in place.names[2:]])
+    span = np.dtype([("id", "<i8"), ("tag", "<i8"), ("first", "<i4"), ("end", "<i4")])
 
     def minimizers(batches):
         for ids, tags, texts in _documents(batches, 2048, 4 << 20):
@@ -248,29 +309,35 @@ def repeated_spans(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
         cuts = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
         many = np.minimum.reduceat(line, cuts) < np.maximum.reduceat(line, cuts)
         keep = order[np.repeat(many, np.diff(np.append(cuts, len(line))))]
-        head = np.array([number], "<i4").tobytes()
-        found = [(i, t, head + r.tobytes()) for i, t, r in _by_document(ids[keep], tags[keep], all_[keep])] if len(keep) else []
-        for a in range(0, len(found), 4096):
-            yield _rows(found[a : a + 4096])
+        found = np.empty(len(keep), place)
+        found["id"], found["tag"], found["bucket"] = ids[keep], tags[keep], number
+        for name in ("least", "start", "windows"):
+            found[name] = all_[name][keep]
+        yield from _to_homes(found, buckets)
+
+    def places_by_document(batches):
+        found, cuts = _at_home(batches, place, "start")
+        yield from _rows(found, cuts, list(stored.names))
 
     first = keyed.mapInArrow(minimizers, _blob_schema("ids", "tags", "records")).repartitionById(buckets, F.col("bucket"))
-    shared = written(first.mapInArrow(in_two_documents, _FOUND), "shared-minimizers")
-    per_doc = shared.groupBy("id", "tag").agg(F.collect_list("blob").alias("blobs"))
-    held = _packed_texts(keyed).join(per_doc, ["id", "tag"]).select("id", "tag", "packed", "blobs")
+    shared = first.mapInArrow(in_two_documents, _blob_schema("blob")).repartitionById(buckets, F.col("bucket"))
+    per_doc = written(shared.mapInArrow(places_by_document, _FOUND), "shared-minimizers")
+    held = _packed_texts(keyed).join(per_doc, ["id", "tag"]).select("id", "tag", "packed", "blob")
 
     def stretches(batches):
         loose, tight = ZstdDecompressor(), ZstdCompressor(level=3)
         for batch in in_slices(batches, 256):
             ids, tags = (np.asarray(batch.column(k)) for k in (0, 1))
             records, numbers, data = [], [], []
-            for row, (text, blobs) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
-                text = loose.decompress(text)
-                for blob in blobs:
-                    r = np.frombuffer(blob, record, offset=4).copy()
-                    r["doc"] = row
-                    records.append(r)
-                    numbers.append(np.full(len(r), np.frombuffer(blob, "<i4", 1)[0]))
-                    data += [text[s : s + w + length - 1] for s, w in zip(r["start"].tolist(), r["windows"].tolist())]
+            for row, (text, blob) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+                text, found = loose.decompress(text), np.frombuffer(blob, stored)
+                r = np.empty(len(found), record)
+                r["doc"] = row
+                for name in ("least", "start", "windows"):
+                    r[name] = found[name]
+                records.append(r)
+                numbers.append(found["bucket"])
+                data += [text[s : s + w + length - 1] for s, w in zip(r["start"].tolist(), r["windows"].tolist())]
             if not data:
                 continue
             records, bucket = np.concatenate(records), np.concatenate(numbers)
@@ -319,7 +386,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
         counts = np.array([len(x) for x in result], np.int64)
         flat = np.concatenate(result)
         base = np.cumsum(counts) - counts
-        found: list[tuple] = []
+        found: list[np.ndarray] = [np.empty(0, span)]
         for a in range(0, len(which), 200_000):  # occurrences at a time
             w = which[a : a + 200_000]
             n = counts[w]
@@ -329,16 +396,19 @@ def repeated_spans(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
             edge = np.concatenate([[True], src[1:] != src[:-1]])
             begin = np.flatnonzero(go & (edge | ~np.concatenate([[False], go[:-1]])))
             last = np.flatnonzero(go & np.concatenate([edge[1:] | ~go[1:], [True]]))
-            if len(begin) == 0:
-                continue
-            s = start[a : a + 200_000][src[begin]]
-            pairs = np.stack([s + off[begin], s + off[last] + length], axis=1).astype("<i4")
-            found += [(i, t, p.tobytes()) for i, t, p in _by_document(ids[a : a + 200_000][src[begin]], tags[a : a + 200_000][src[begin]], pairs)]
-        for a in range(0, len(found), 4096):
-            yield _rows(found[a : a + 4096])
+            mine = a + src[begin]
+            spans = np.empty(len(begin), span)
+            spans["id"], spans["tag"] = ids[mine], tags[mine]
+            spans["first"], spans["end"] = start[mine] + off[begin], start[mine] + off[last] + length
+            found.append(spans)
+        yield from _to_homes(np.concatenate(found), buckets)
+
+    def spans_by_document(batches):
+        yield from _rows(*_merged(*_at_home(batches, span, "first")), ["first", "end"])
 
     second = held.mapInArrow(stretches, _blob_schema("ids", "tags", "records", "bytes")).repartitionById(buckets, F.col("bucket"))
-    return written(second.mapInArrow(expand, _FOUND), "repeated").groupBy("id", "tag").agg(F.collect_list("blob").alias("spans"))
+    spans = second.mapInArrow(expand, _blob_schema("blob")).repartitionById(buckets, F.col("bucket"))
+    return written(spans.mapInArrow(spans_by_document, _FOUND), "repeated").withColumnRenamed("blob", "spans")
 
 
 def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -353,14 +423,9 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
         loose = ZstdDecompressor()
         for batch in in_slices(batches):
             sizes, gone, counts, spans_of, kept = [], [], [], [], []
-            for text, blobs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            for text, blob in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 data = loose.decompress(text)
-                runs: list[list[int]] = []
-                for a, b in sorted(map(tuple, np.frombuffer(b"".join(blobs or []), "<i4").reshape(-1, 2).tolist())):
-                    if runs and a <= runs[-1][1]:
-                        runs[-1][1] = max(runs[-1][1], b)
-                    else:
-                        runs.append([a, b])
+                runs = np.frombuffer(blob or b"", "<i4").reshape(-1, 2).tolist()
                 edges = [0, *(x for run in runs for x in run), len(data)]
                 kept.append(b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2])))
                 sizes.append(len(data)), gone.append(len(data) - len(kept[-1])), counts.append(len(runs))
