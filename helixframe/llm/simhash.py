@@ -14,12 +14,14 @@ like any other. Repeated ids are one node. An empty table gives no rows.
 
 from __future__ import annotations
 
+import os
+import tempfile
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -172,26 +174,39 @@ def simhash_components(docs: DataFrame, shingle_words: int = 3, radius: int = 2,
     return grouped(marked, lambda nodes: tiled_links(keyed_by_blocks(nodes, radius, blocks), radius), id_col)
 
 
-#: Words of a near-copy fingerprint, and the bits that may differ. Texts whose shingle sets
-#: have a similarity of 0.8 differ in 39 of 256 bits in the mean, with a deviation of 6.
-WORDS, RADIUS = 4, 48
+#: Two texts are near copies from this similarity of their shingle sets on.
+SIMILARITY = 0.8
+#: Words of a near-copy fingerprint, and the bits that may differ for a pair to be looked
+#: at. Where the similarity is 0.8 a bit differs with a probability of at most 0.1875 (four
+#: of five shingles), so that one such pair in a million or fewer lies beyond the radius.
+WORDS, RADIUS = 4, 80
 #: Keys of a text and the least hashes in each: two texts of similarity 0.8 share none of
 #: the keys once in a million.
 BANDS, ROWS = 20, 3
+#: Bytes of shingle sets that a task holds in memory; more of them lie in a file.
+HELD = 64 << 20
+
+
+def shingle_set(text: str | None, size: int) -> np.ndarray:
+    """The distinct shingles as XXH64 (seed 42), ascending."""
+    digests = b"".join([xxhash.xxh64_digest(p, 42) for p in set(shingles(text, size))])
+    return np.unique(np.frombuffer(digests, ">u8").astype(np.uint64))
 
 
 def wide_fingerprints(docs: DataFrame, shingle_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fingerprint, keys): ``WORDS`` words of SimHash over the distinct shingles, and
-    ``BANDS`` keys from the least hashes under as many orders, which near copies share."""
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("fingerprint", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+    """(id, text_key, fingerprint, set_key, keys): ``WORDS`` words of SimHash over the distinct
+    shingles, 128-bit hashes of the text and of the set of shingles, and ``BANDS`` keys from
+    the least hashes under as many orders, which near copies share."""
+    fields = [("text_key", T.BinaryType()), ("fingerprint", T.BinaryType()), ("set_key", T.BinaryType()), ("keys", T.ArrayType(T.LongType()))]
+    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *[T.StructField(*f) for f in fields]])
     odd = np.random.default_rng(7).integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 
     def run(batches):
         for batch in in_slices(batches):
-            prints, keys = [], []
-            for text in batch.column(1).to_pylist():
-                digests = b"".join([xxhash.xxh64_digest(p, 42) for p in set(shingles(text, shingle_words))])
-                base = np.frombuffer(digests, ">u8").astype(np.uint64)
+            prints, sets, keys = [], [], []
+            for text in batch.column(2).to_pylist():
+                base = shingle_set(text, shingle_words)
+                sets.append(xxhash.xxh3_128_digest(base.tobytes()))
                 prints.append(b"".join(majority_bits(_stir(base, salt).astype(">u8").tobytes(), 8) for salt in range(1, WORDS + 1)))
                 if len(base) == 0:
                     keys.append([0])
@@ -201,18 +216,139 @@ def wide_fingerprints(docs: DataFrame, shingle_words: int = 5, id_col: str = "do
                 for r in range(ROWS):
                     mixed = _stir(mixed + least[:, r], 11 + r)
                 keys.append(mixed.view(np.int64).tolist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints, pa.binary()), pa.array(sets, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=schema.names)
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_key(text_col).alias("text_key"), text_col).mapInArrow(run, schema)
+
+
+def text_key(text_col: str = "text") -> Column:
+    """A 128-bit hash of the text, by which rows are told apart; that of a null is empty."""
+    return F.coalesce(F.unhex(F.md5(text_col)), F.lit(b""))
+
+
+class _Sets:
+    """Shingle sets of a group, in memory up to ``HELD`` bytes and then in a file."""
+
+    def __init__(self):
+        self.ends, self.parts, self.file = [0], [], None
+
+    def add(self, data: bytes) -> None:
+        self.ends.append(self.ends[-1] + len(data))
+        if self.file is None and self.ends[-1] > HELD:
+            self.file = tempfile.TemporaryFile()
+            self.file.writelines(self.parts)
+            self.parts = []
+        if self.file is None:
+            self.parts.append(data)
+        else:
+            self.file.write(data)
+
+    def get(self, i: int) -> np.ndarray:
+        if self.file is None:
+            return np.frombuffer(self.parts[i], np.uint64)
+        return np.frombuffer(os.pread(self.file.fileno(), self.ends[i + 1] - self.ends[i], self.ends[i]), np.uint64)
+
+    def sizes(self) -> np.ndarray:
+        if self.file is not None:
+            self.file.flush()
+        return np.diff(self.ends) // 8
+
+
+def _alike(sets: _Sets, sizes: np.ndarray, i: int, others: np.ndarray, least: float) -> np.ndarray:
+    """Which of ``others`` have a set whose Jaccard similarity to that of ``i`` is ``least`` or more."""
+    own = sets.get(i)
+    parts = [sets.get(j) for j in others]
+    flat = np.concatenate(parts)
+    hit = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+    both = np.add.reduceat(hit, np.append(0, np.cumsum([len(p) for p in parts])[:-1]), dtype=np.int64)
+    return both >= least * (sizes[i] + sizes[others] - both) - 1e-9
+
+
+def group_links(nodes: np.ndarray, rows: np.ndarray, sets: _Sets, radius: int, least: float) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs within ``radius`` bits whose sets are ``least`` alike."""
+    sizes = sets.sizes()
+    order = np.argsort(sizes, kind="stable")
+    group = np.arange(len(nodes))
+    out: list[tuple[int, int]] = []
+    for a in range(0, len(order), TILE):
+        left = order[a : a + TILE]
+        for b in range(a, len(order), TILE):
+            right = order[b : b + TILE]
+            if sizes[left[-1]] < least * sizes[right[0]] - 1e-9:
+                break  # what follows is larger still
+            at, to = _close(rows[left], rows[right], radius)
+            cuts = np.searchsorted(at, np.arange(len(left) + 1))
+            for k, i in enumerate(left):
+                others = right[to[cuts[k] : cuts[k + 1]]]
+                others = others[(sizes[others] >= sizes[i]) & (sizes[i] >= least * sizes[others] - 1e-9) & (sizes[i] > 0)]
+                chunk = 1
+                while len(others := others[group[others] != group[i]]):
+                    tried, others = others[:chunk], others[chunk:]
+                    for j in tried[_alike(sets, sizes, i, tried, least)]:
+                        if group[j] != group[i]:
+                            group[group == group[j]] = group[i]
+                            out.append((int(nodes[i]), int(nodes[j])))
+                    chunk = min(2 * chunk, 64)
+    return out
+
+
+def alike_links(docs: DataFrame, near: DataFrame, shingle_words: int, radius: int, least: float, text_col: str = "text") -> DataFrame:
+    """Links (a, b) between nodes of one component of candidates, after a check of their
+    shingle sets. ``near``: text_key, component, node, fingerprint."""
+    found = docs.select(text_key(text_col).alias("text_key"), text_col).join(near, "text_key").select("component", "node", "fingerprint", text_col)
+    kinds = [("component", T.LongType()), ("node", T.LongType()), ("fingerprint", T.BinaryType()), ("grams", T.BinaryType())]
+    schema = T.StructType([T.StructField(*f) for f in kinds])
+    links = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+
+    def with_sets(batches):
+        seen: set[int] = set()  # a text that occurs often goes once from each task
+        for batch in in_slices(batches):
+            fresh = []
+            for i, node in enumerate(batch.column(1).to_pylist()):
+                if node not in seen:
+                    seen.add(node)
+                    fresh.append(i)
+            batch = batch.take(pa.array(fresh, pa.int64()))
+            grams = [shingle_set(text, shingle_words).tobytes() for text in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(grams, pa.binary())], names=schema.names)
+
+    def run(batches):
+        key, nodes, prints, sets = None, [], [], _Sets()
+
+        def done():
+            if len(nodes) > 1:
+                rows = np.frombuffer(b"".join(prints), ">u8").reshape(len(prints), -1).astype(np.uint64)
+                out = group_links(np.array(nodes), rows, sets, radius, least)
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names=links.names)
+
+        for batch in in_slices(batches):
+            for component, node, fingerprint, grams in zip(*[c.to_pylist() for c in batch.columns]):
+                if component != key:
+                    yield from done()
+                    key, nodes, prints, sets = component, [], [], _Sets()
+                if not nodes or nodes[-1] != node:
+                    nodes.append(node), prints.append(fingerprint), sets.add(grams)
+        yield from done()
+
+    return found.mapInArrow(with_sets, schema).repartition("component").sortWithinPartitions("component", "node").mapInArrow(run, links)
 
 
-def near_copies(docs: DataFrame, shingle_words: int = 5, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fingerprint, component_id): groups of texts of similarity 0.8 or more on word
-    shingles, by wide fingerprints within ``radius`` bits.
+def near_copies(docs: DataFrame, shingle_words: int = 5, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
+    """(id, text_key, fingerprint, component, component_id): groups of texts that links of
+    similarity ``least`` or more on word shingles join; component_id is the smallest id.
 
     So wide a radius leaves no bit block that must agree, so the tiles are formed from keys
-    of least hashes instead; what is linked is decided by the fingerprints alone.
+    of least hashes instead. They and the fingerprints only choose candidates: what is linked
+    is decided by the shingle sets, component by component of the candidates.
     """
     marked = written(wide_fingerprints(docs, shingle_words, id_col, text_col), "fingerprints")
-    keys = marked.groupBy("fingerprint").agg(F.min_by("keys", id_col).alias("keys"), F.min(id_col).alias("node"))
-    return grouped(marked.select(id_col, "fingerprint"), lambda _: tiled_links(keys.select(F.explode("keys").alias("key"), "node", "fingerprint"), radius, WORDS), id_col)
+    firsts = marked.groupBy("set_key").agg(F.min("text_key").alias("text_key"), F.first("fingerprint").alias("fingerprint"), F.first("keys").alias("keys"), F.min(id_col).alias("least"))
+    nodes = written(firsts.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    near = components(tiled_links(nodes.select(F.explode("keys").alias("key"), "node", "fingerprint"), radius, WORDS))
+    near = written(near.join(nodes.select("node", "text_key", "fingerprint"), "node"), "candidates")
+    found = components(alike_links(docs, near, shingle_words, radius, least, text_col))
+    named = nodes.join(found, "node", "left").select("set_key", "least", F.coalesce("component", "node").alias("component"))
+    named = written(named, "components")
+    ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    return marked.join(named.join(ids, "component").drop("least"), "set_key").select(id_col, "text_key", "fingerprint", "component", "component_id")

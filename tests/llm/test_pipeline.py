@@ -53,3 +53,21 @@ def test_whole_pipeline(spark, sf):
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
     assert sizes == sorted(sizes, reverse=True) and packed.select("doc_id").distinct().count() == sizes[-1]
     assert all(stage(spark, spark.read.parquet(f"{sf}/documents.parquet").limit(0), sf).count() == 0 for _, stage in corpus_pipeline.STAGES)
+
+
+def test_similarity_decides_near_copies(spark, stages, sf):
+    """A nine-word text and the same less its last word share 4 of 5 shingles and are near
+    copies; pairs that share 7 of 10 are not, though fingerprints are close."""
+    rng = np.random.default_rng(12)
+    texts, expected = [], []
+    for _ in range(40):
+        words = prose(rng, 9).split()
+        expected.append(len(texts))
+        texts += [" ".join(words), " ".join(words[:8])]
+    for _ in range(40):
+        words = prose(rng, 140).split()
+        cut = [*words[:116], *prose(rng, 24).split()]  # 112 of 160 shingles are shared
+        expected += [len(texts), len(texts) + 1]
+        texts += [" ".join(words), " ".join(cut)]
+    out = stages["SimHash near-dedup"](spark, table(spark, texts), sf)
+    assert sorted(r["doc_id"] for r in out.collect()) == expected
