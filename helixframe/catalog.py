@@ -119,9 +119,9 @@ def ragged_explode(spark, d):
     return reshape.explode_ragged(docs, ["a", "b"], "\x01")
 
 
-@query("unpivot_long", "SELECT l_orderkey, l_linenumber, name, value FROM lineitem UNPIVOT (value FOR name IN (l_discount, l_tax)) WHERE l_orderkey < 500")
+@query("unpivot_long", "SELECT l_orderkey, l_linenumber, name, value FROM lineitem UNPIVOT (value FOR name IN (l_discount, l_tax))")
 def unpivot_long(spark, d):
-    return reshape.to_long(t(spark, d, "lineitem").where("l_orderkey < 500"), ["l_orderkey", "l_linenumber"], ["l_discount", "l_tax"])
+    return reshape.to_long(t(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"], ["l_discount", "l_tax"])
 
 
 @query("pivot_wide", "SELECT o_custkey, max(o_totalprice) FILTER (WHERE o_orderstatus = 'F') AS F, max(o_totalprice) FILTER (WHERE o_orderstatus = 'O') AS O FROM orders GROUP BY 1")

@@ -220,3 +220,12 @@ def test_streaming_windows(spark, tmp_path, sf):
     q.processAllAvailable()
     q.stop()
     assert spark.table("w").agg(F.sum("n")).first()[0] == src.count()
+
+
+def test_unpivot_covers_all_orders(spark, sf):
+    from helixframe.catalog import QUERIES
+
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet")
+    got = QUERIES["unpivot_long"](spark, sf)
+    assert got.count() == 2 * lines.count()
+    assert got.select("l_orderkey").distinct().count() == lines.select("l_orderkey").distinct().count()
