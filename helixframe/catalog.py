@@ -111,12 +111,12 @@ def list_expand(spark, d):
 
 
 @query("ragged_explode", """
-WITH s AS (SELECT doc_id, string_split(left(text, 60), ' ') AS a, string_split(source, 'r') AS b FROM documents),
+WITH s AS (SELECT doc_id, string_split(text, ' ') AS a, string_split(source, 'r') AS b FROM documents),
 r AS (SELECT doc_id, a, b, unnest(range(greatest(len(a), len(b)))) AS place FROM s)
 SELECT doc_id, place::INTEGER AS place, nullif(nullif(a[place + 1], ''), '.') AS a, nullif(nullif(b[place + 1], ''), '.') AS b FROM r""")
 def ragged_explode(spark, d):
-    docs = t(spark, d, "documents").select("doc_id", F.array_join(F.split(F.left("text", F.lit(60)), " "), "\x01").alias("a"), F.array_join(F.split("source", "r"), "\x01").alias("b"))
-    return reshape.explode_ragged(docs, ["a", "b"], "\x01")
+    docs = t(spark, d, "documents").select("doc_id", F.split("text", " ").alias("a"), F.split("source", "r").alias("b"))
+    return reshape.explode_ragged(docs, ["a", "b"])
 
 
 @query("unpivot_long", "SELECT l_orderkey, l_linenumber, name, value FROM lineitem UNPIVOT (value FOR name IN (l_discount, l_tax))")
@@ -458,18 +458,18 @@ def ordered_split(spark, d):
     return ordered.ordered_split(t(spark, d, "orders"), ["o_orderstatus"], ["o_orderkey"], 0.8).select("o_orderkey", "role")
 
 
-_DNA = "translate(left(lower(coalesce(text, '')), 80), 'abcdefghijklmnopqrstuvwxyz .,', 'ACGTACGTACGTACGTACGTACGTACNNN')"
+_DNA = "translate(lower(coalesce(text, '')), 'abcdefghijklmnopqrstuvwxyz .,', 'ACGTACGTACGTACGTACGTACGTACNNN')"
 
 
 @query("revcomp", f"SELECT doc_id, reverse(translate({_DNA}, 'ACGTacgt', 'TGCAtgca')) AS rc FROM documents")
 def revcomp(spark, d):
-    seq = F.translate(F.left(F.lower(F.coalesce("text", F.lit(""))), F.lit(80)), "abcdefghijklmnopqrstuvwxyz .,", "ACGTACGTACGTACGTACGTACGTACNNN")
+    seq = F.translate(F.lower(F.coalesce("text", F.lit(""))), "abcdefghijklmnopqrstuvwxyz .,", "ACGTACGTACGTACGTACGTACGTACNNN")
     return t(spark, d, "documents").select("doc_id", dna.reverse_complement(seq).alias("rc"))
 
 
 @query("gc_share", f"SELECT doc_id, round(length(regexp_replace(upper({_DNA}), '[^GC]', '', 'g'))::DOUBLE / nullif(length({_DNA}), 0), 8) AS gc FROM documents")
 def gc_share(spark, d):
-    seq = F.translate(F.left(F.lower(F.coalesce("text", F.lit(""))), F.lit(80)), "abcdefghijklmnopqrstuvwxyz .,", "ACGTACGTACGTACGTACGTACGTACNNN")
+    seq = F.translate(F.lower(F.coalesce("text", F.lit(""))), "abcdefghijklmnopqrstuvwxyz .,", "ACGTACGTACGTACGTACGTACGTACNNN")
     return t(spark, d, "documents").select("doc_id", F.round(dna.gc_share(seq), 8).alias("gc"))
 
 

@@ -24,8 +24,10 @@ def cast_tag(text: Column, kind: str) -> Column:
 
 
 def explode_ragged(df: DataFrame, columns: list[str], sep: str = ",", place: str = "place") -> DataFrame:
-    """A row for each place of parallel lists; shorter lists give null, other columns repeat."""
-    lists = F.arrays_zip(*[F.split(F.coalesce(F.col(c), F.lit("")), sep).alias(c) for c in columns])
+    """A row for each place of parallel lists (arrays, or texts split at ``sep``); shorter
+    lists give null, other columns repeat."""
+    split = lambda c: F.coalesce(F.col(c), F.array(F.lit(""))) if df.schema[c].dataType.typeName() == "array" else F.split(F.coalesce(F.col(c), F.lit("")), sep)
+    lists = F.arrays_zip(*[split(c).alias(c) for c in columns])
     rest = [c for c in df.columns if c not in columns]
     out = df.select(*rest, F.posexplode(lists).alias(place, "__v"))
     return out.select(*rest, place, *[missing(F.col("__v")[c]).alias(c) for c in columns])

@@ -229,3 +229,16 @@ def test_unpivot_covers_all_orders(spark, sf):
     got = QUERIES["unpivot_long"](spark, sf)
     assert got.count() == 2 * lines.count()
     assert got.select("l_orderkey").distinct().count() == lines.select("l_orderkey").distinct().count()
+
+
+def test_catalog_texts_are_whole(spark, tmp_path):
+    from helixframe.catalog import QUERIES
+
+    text = "a" * 90 + " c\x01g" + " g" * 50
+    spark.createDataFrame([(1, text, "s"), (2, None, "s")], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = lambda name: {r["doc_id"]: r for r in QUERIES[name](spark, str(tmp_path)).collect()}
+    coded = text.replace("c", "G").replace("g", "G").replace("a", "A").replace(" ", "N")
+    assert rows("revcomp")[1]["rc"] == coded.translate(str.maketrans("ACGT", "TGCA"))[::-1] and rows("revcomp")[2]["rc"] == ""
+    assert rows("gc_share")[1]["gc"] == round((coded.count("G") + coded.count("C")) / len(coded), 8) and rows("gc_share")[2]["gc"] is None
+    places = sorted((r["place"], r["a"]) for r in QUERIES["ragged_explode"](spark, str(tmp_path)).collect() if r["doc_id"] == 1)
+    assert places == list(enumerate(text.split(" ")))
