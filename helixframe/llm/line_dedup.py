@@ -19,12 +19,12 @@ from .shared import written
 
 
 def repeated_windows(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Later occurrences of repeated windows: the id, ``line`` (from 0)."""
+    """Later occurrences of repeated windows: the id (a struct must not be null), ``line`` (from 0)."""
     lines = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.split(text_col, "\n").alias("lines")).where(F.size("lines") >= width)
     hashed = F.transform(F.sequence(F.lit(0), F.size("lines") - width), lambda i: F.struct(F.xxhash64(F.lit(1), *[F.get("lines", i + k) for k in range(width)]).alias("a"), F.xxhash64(F.lit(2), *[F.get("lines", i + k) for k in range(width)]).alias("b")))
     windows = written(lines.select("id", F.posexplode(hashed).alias("line", "w")).select("id", "line", "w.a", "w.b"), "windows")
-    first = windows.groupBy("a", "b").agg(F.min(F.struct(F.coalesce(F.col("id"), F.lit(-(2**63))).alias("id"), F.col("line"))).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "b", F.col("first.id").alias("first_id"), F.col("first.line").alias("first_line"))
-    at = F.coalesce(F.col("id"), F.lit(-(2**63)))
+    at = F.coalesce(F.col("id"), F.lit(-(2**63))) if docs.schema[id_col].dataType.typeName() != "struct" else F.col("id")
+    first = windows.groupBy("a", "b").agg(F.min(F.struct(at.alias("id"), F.col("line"))).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "b", F.col("first.id").alias("first_id"), F.col("first.line").alias("first_line"))
     return windows.join(first, ["a", "b"]).where((at != F.col("first_id")) | (F.col("line") != F.col("first_line"))).select("id", "line")
 
 

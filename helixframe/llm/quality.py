@@ -149,12 +149,12 @@ def _strength(sums: DataFrame, n: str, total: str, prior: Column) -> Column:
     return F.least(F.greatest(F.max(chance) / between, F.lit(1.0)), F.lit(1e6))
 
 
-def classify(docs: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None, threshold: float = 0.5, fit_rows: int = 8000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: id, e_low, e_toxic (own evidence), prior_low, prior_toxic (its path's
+def classify(docs: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None, threshold: float = 0.5, fit_rows: int = 8000, id_col: str = "doc_id", text_col: str = "text", carried: tuple[str, ...] = ()) -> DataFrame:
+    """Per document: id, carried columns, e_low, e_toxic (own evidence), prior_low, prior_toxic (its path's
     posterior means), p_low, p_toxic (combined), keep (both under ``threshold``)."""
     host = F.coalesce(F.col("source") if host is None else host, F.lit("\0")).alias("host")
     path = F.coalesce(F.concat_ws("/", F.col("source"), F.col("lang")) if path is None else path, F.lit("\0")).alias("path")
-    scored = written(evidence(docs, learn(docs, labels, fit_rows, id_col=id_col, text_col=text_col), [host, path], id_col, text_col), "evidence")
+    scored = written(evidence(docs, learn(docs, labels, fit_rows, id_col=id_col, text_col=text_col), [host, path, *map(F.col, carried)], id_col, text_col), "evidence")
     paths = written(scored.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum("e_low").alias("low"), F.sum("e_toxic").alias("toxic")), "paths")
     hosts = paths.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("low").alias("hlow"), F.sum("toxic").alias("htoxic"))
     priors = paths
@@ -174,5 +174,5 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column | None = None, pat
         odds = logit(F.col(f"e_{k}")) + logit(F.col(f"prior_{k}")) - logit(F.col(f"g_{k}"))
         return (1 / (1 + F.exp(-odds))).alias(f"p_{k}")
 
-    done = scored.join(priors, ["host", "path"]).select(id_col, "e_low", "e_toxic", "prior_low", "prior_toxic", joined("low"), joined("toxic"))
+    done = scored.join(priors, ["host", "path"]).select(id_col, *carried, "e_low", "e_toxic", "prior_low", "prior_toxic", joined("low"), joined("toxic"))
     return done.withColumn("keep", (F.col("p_low") < threshold) & (F.col("p_toxic") < threshold))

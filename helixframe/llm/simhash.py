@@ -9,7 +9,8 @@ than the radius. Of the links of a key only those that join two groups are emitt
 most one fewer than it has fingerprints.
 
 Nulls: a null text has no words. A text without words has fingerprint zero and is linked
-like any other. Repeated ids are one node. An empty table gives no rows.
+like any other. Repeated ids are one node; rows with a null id go by their fingerprint.
+An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,12 +22,12 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
-from .shared import written
+from .shared import text_key, written
 from .tokens import in_slices
 
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
@@ -161,10 +162,14 @@ def tiled_links(keyed: DataFrame, radius: int, words: int = 1) -> DataFrame:
 
 def grouped(marked: DataFrame, links_of, id_col: str = "doc_id") -> DataFrame:
     """``marked`` (id, fingerprint; a written table) with ``component_id``: the smallest id
-    that links reach. ``links_of`` maps nodes (node, fingerprint) to links (a, b)."""
-    nodes = written(marked.groupBy("fingerprint").agg(F.min(id_col).alias("node")), "nodes")
-    found = components(links_of(nodes))
-    named = nodes.join(found, "node", "left").select("fingerprint", F.coalesce("component", "node").alias("component_id"))
+    that links reach, null where they reach null ids alone. ``links_of`` maps nodes (node,
+    fingerprint) to links (a, b); a fingerprint of null ids only goes by its hash."""
+    least = marked.groupBy("fingerprint").agg(F.min(id_col).alias("least"))
+    nodes = written(least.withColumn("node", F.coalesce("least", F.xxhash64("fingerprint"))), "nodes")
+    found = written(components(links_of(nodes.select("node", "fingerprint"))), "components")
+    ids = found.join(nodes, "node").groupBy("component").agg(F.min("least").alias("reached"))
+    reached = found.join(ids, "component").select("node", "component", "reached")
+    named = nodes.join(reached, "node", "left").select("fingerprint", F.when(F.col("component").isNull(), F.col("least")).otherwise(F.col("reached")).alias("component_id"))
     return marked.join(named, "fingerprint").select(id_col, "fingerprint", "component_id")
 
 
@@ -193,18 +198,19 @@ def shingle_set(text: str | None, size: int) -> np.ndarray:
     return np.unique(np.frombuffer(digests, ">u8").astype(np.uint64))
 
 
-def wide_fingerprints(docs: DataFrame, shingle_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text_key, fingerprint, set_key, keys): ``WORDS`` words of SimHash over the distinct
-    shingles, 128-bit hashes of the text and of the set of shingles, and ``BANDS`` keys from
-    the least hashes under as many orders, which near copies share."""
+def wide_fingerprints(docs: DataFrame, shingle_words: int = 5, id_col: str = "doc_id", text_col: str = "text", carried: tuple[str, ...] = ()) -> DataFrame:
+    """(id, carried columns, text_key, fingerprint, set_key, keys): ``WORDS`` words of SimHash
+    over the distinct shingles, 128-bit hashes of the text and of the set of shingles, and
+    ``BANDS`` keys from the least hashes under as many orders, which near copies share."""
     fields = [("text_key", T.BinaryType()), ("fingerprint", T.BinaryType()), ("set_key", T.BinaryType()), ("keys", T.ArrayType(T.LongType()))]
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *[T.StructField(*f) for f in fields]])
+    taken = docs.select(id_col, *carried, text_key(text_col).alias("text_key"), text_col)
+    schema = T.StructType([*taken.schema.fields[:-2], *[T.StructField(*f) for f in fields]])
     odd = np.random.default_rng(7).integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 
     def run(batches):
         for batch in in_slices(batches):
             prints, sets, keys = [], [], []
-            for text in batch.column(2).to_pylist():
+            for text in batch.columns[-1].to_pylist():
                 base = shingle_set(text, shingle_words)
                 sets.append(xxhash.xxh3_128_digest(base.tobytes()))
                 prints.append(b"".join(majority_bits(_stir(base, salt).astype(">u8").tobytes(), 8) for salt in range(1, WORDS + 1)))
@@ -216,14 +222,9 @@ def wide_fingerprints(docs: DataFrame, shingle_words: int = 5, id_col: str = "do
                 for r in range(ROWS):
                     mixed = _stir(mixed + least[:, r], 11 + r)
                 keys.append(mixed.view(np.int64).tolist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints, pa.binary()), pa.array(sets, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(prints, pa.binary()), pa.array(sets, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=schema.names)
 
-    return docs.select(id_col, text_key(text_col).alias("text_key"), text_col).mapInArrow(run, schema)
-
-
-def text_key(text_col: str = "text") -> Column:
-    """A 128-bit hash of the text, by which rows are told apart; that of a null is empty."""
-    return F.coalesce(F.unhex(F.md5(text_col)), F.lit(b""))
+    return taken.mapInArrow(run, schema)
 
 
 class _Sets:
@@ -334,15 +335,15 @@ def alike_links(docs: DataFrame, near: DataFrame, shingle_words: int, radius: in
     return found.mapInArrow(with_sets, schema).repartition("component").sortWithinPartitions("component", "node").mapInArrow(run, links)
 
 
-def near_copies(docs: DataFrame, shingle_words: int = 5, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
-    """(id, text_key, fingerprint, component, component_id): groups of texts that links of
-    similarity ``least`` or more on word shingles join; component_id is the smallest id.
+def near_copies(docs: DataFrame, shingle_words: int = 5, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY, carried: tuple[str, ...] = ()) -> DataFrame:
+    """(id, carried columns, fingerprint, component, component_id): groups of texts that links
+    of similarity ``least`` or more on word shingles join; component_id is the smallest id.
 
     So wide a radius leaves no bit block that must agree, so the tiles are formed from keys
     of least hashes instead. They and the fingerprints only choose candidates: what is linked
     is decided by the shingle sets, component by component of the candidates.
     """
-    marked = written(wide_fingerprints(docs, shingle_words, id_col, text_col), "fingerprints")
+    marked = written(wide_fingerprints(docs, shingle_words, id_col, text_col, carried), "fingerprints")
     firsts = marked.groupBy("set_key").agg(F.min("text_key").alias("text_key"), F.first("fingerprint").alias("fingerprint"), F.first("keys").alias("keys"), F.min(id_col).alias("least"))
     nodes = written(firsts.withColumn("node", F.monotonically_increasing_id()), "nodes")
     near = components(tiled_links(nodes.select(F.explode("keys").alias("key"), "node", "fingerprint"), radius, WORDS))
@@ -351,4 +352,4 @@ def near_copies(docs: DataFrame, shingle_words: int = 5, radius: int = RADIUS, i
     named = nodes.join(found, "node", "left").select("set_key", "least", F.coalesce("component", "node").alias("component"))
     named = written(named, "components")
     ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    return marked.join(named.join(ids, "component").drop("least"), "set_key").select(id_col, "text_key", "fingerprint", "component", "component_id")
+    return marked.join(named.join(ids, "component").drop("least"), "set_key").select(id_col, *carried, "fingerprint", "component", "component_id")

@@ -347,3 +347,16 @@ def test_shrinking_pulls_small_hosts_to_the_mean(spark):
     labels = docs.select("doc_id", F.when(F.col("text").startswith("bad"), 0).otherwise(1).alias("quality"), F.lit(0).alias("toxic"))
     got = {r["doc_id"]: r for r in quality.classify(docs, labels).collect()}
     assert got[100]["prior_low"] > got[41]["prior_low"] > 0 and got[0]["keep"] and not got[100]["keep"]
+
+
+def test_simhash_with_null_ids(spark):
+    """Fingerprints that only null ids hold link like others, and large ids stay exact."""
+    text = "one two three four five six seven eight nine ten eleven twelve"
+    big = 2**53 + 1
+    rows = [(None, "alone at last"), (None, text), (big, "quite another text"), (big + 2, text + " x y")]
+    df = spark.createDataFrame([(i, t, "x") for i, t in rows], DOCS)
+    alone = simhash.simhash_components(df).select("doc_id", "component_id").collect()
+    assert sorted(map(tuple, alone), key=str) == sorted([(None, None), (None, None), (big, big), (big + 2, big + 2)], key=str)
+    keyed = lambda nodes: simhash.tiled_links(nodes.withColumn("key", F.lit(1).cast("long")).select("key", "node", "fingerprint"), 64)
+    out = simhash.grouped(simhash.fingerprints(df), keyed).collect()  # a radius that links all
+    assert {r["component_id"] for r in out} == {big} and len(out) == 4

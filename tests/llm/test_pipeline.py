@@ -3,6 +3,7 @@
 import corpus_pipeline
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from helixframe.llm.shared import written
 
@@ -71,3 +72,33 @@ def test_similarity_decides_near_copies(spark, stages, sf):
         texts += [" ".join(words), " ".join(cut)]
     out = stages["SimHash near-dedup"](spark, table(spark, texts), sf)
     assert sorted(r["doc_id"] for r in out.collect()) == expected
+
+
+def test_null_and_repeated_ids_stay_apart(spark, stages, sf):
+    rng = np.random.default_rng(13)
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").orderBy("item_id").first()["text"]
+    clean, copy = [prose(rng, 60) for _ in range(4)], prose(rng, 80)
+    rows = [(None, clean[0]), (None, clean[1]), (7, clean[2]), (7, clean[3]), (9, copy), (None, copy), (None, copy), (None, item), (7, item + " x")]
+    docs = spark.createDataFrame([(i, t, "en", "src0", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = lambda name: sorted(((r["doc_id"], r["text"]) for r in stages[name](spark, docs, sf).collect()), key=str)
+    near = got("SimHash near-dedup")
+    assert [r for r in near if item not in r[1]] == sorted([*rows[:4], (9, copy)], key=str)
+    assert got("benchmark decontamination") == sorted(rows[:7], key=str)
+
+
+def test_quality_judges_rows(spark, stages, sf):
+    """Rejected rows of a null id take no other row along: what stays is what stays with ids."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("text is not null").dropDuplicates(["text"])
+    labelled = [r["doc_id"] for r in spark.read.parquet(f"{sf}/labels.parquet").select("doc_id").collect()]
+    blank = docs.withColumn("doc_id", F.when(F.col("doc_id").isin(labelled), F.col("doc_id")))
+    kept = [sorted(r["text"] for r in stages["quality classifier"](spark, d, sf).select("text").collect()) for d in (docs, blank)]
+    assert kept[0] == kept[1] and 0 < len(kept[0]) < docs.count()
+
+
+def test_lines_of_null_ids_stay_apart(spark, stages, sf):
+    rows = [(1, "a b\nc d\ne f"), (None, "x\na b\nc d\ne f\ny"), (None, "p\nq\nr\ns\nt"), (4, "k\nl\nm"), (4, "k\nl\nm\nn")]
+    docs = spark.createDataFrame([(i, t, "en", "src0", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = [(r["doc_id"], r["text"]) for r in stages["line dedup"](spark, docs, sf).collect()]
+    # nulls come first in the order of ids, so that the passage stays with the null id
+    assert (None, rows[1][1]) in out and (None, rows[2][1]) in out and (1, "") in out and len(out) == 5
+    assert {t for i, t in out if i == 4} in ({"k\nl\nm", "n"}, {"", "k\nl\nm\nn"})
