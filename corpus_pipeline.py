@@ -49,7 +49,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The places of all pieces of all documents in the training sequences."""
-    pieces = packing.tokenized_pieces(docs, TOKENIZER, END_ID, SEQUENCE)
+    pieces = packing.tokenized_pieces(docs, TOKENIZER, END_ID, SEQUENCE, plain=True)
     digests = written(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), "pipeline-pieces")
     return packing.pack_best_fit(digests, SEQUENCE)
 

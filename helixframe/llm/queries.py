@@ -18,13 +18,13 @@ SEQUENCE = 1024
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = tables(spark, sf_dir, "documents")
-    pieces = packing.tokenized_pieces(docs, TOKENIZER, END_ID, SEQUENCE)
+    pieces = packing.tokenized_pieces(docs, TOKENIZER, END_ID, SEQUENCE, plain=True)
     digests = written(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), "op1-pieces")
     return packing.pack_best_fit(digests, SEQUENCE).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def op6_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    manifest = token_files.write_token_files(tables(spark, sf_dir, "documents"), TOKENIZER, END_ID)
+    manifest = token_files.write_token_files(tables(spark, sf_dir, "documents"), TOKENIZER, END_ID, plain=True)
     return token_files.read_token_digests(manifest).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 

@@ -138,11 +138,12 @@ class TokenFile:
 MANIFEST = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("path", T.StringType()), T.StructField("n_docs", T.LongType()), T.StructField("n_ids", T.LongType())])
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", docs_per_file: int = 8192, block_ids: int = 65_536) -> DataFrame:
+def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", docs_per_file: int = 8192, block_ids: int = 65_536, plain: bool = False) -> DataFrame:
     """Write the files; returns the manifest (shard, path, n_docs, n_ids), a written table.
 
     Files hold ranges of ids whose bounds are quantiles of all ids, found in a scan of
     that column alone. Texts are encoded where they are read and only narrow ids travel.
+    ``plain``: see ``ChunkEncoder``.
     """
     spark = docs.sparkSession
     folder = folder or scratch_path(spark, "tokens")
@@ -155,7 +156,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str
     encoded = T.StructType([T.StructField(id_col, T.LongType()), T.StructField("shard", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("narrow", T.BinaryType())])
 
     def encode(batches):
-        enc, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        enc, end = encoder(tokenizer, plain=plain), np.array([end_id], "<u4").tobytes()
         kind = "<u2" if width_of(enc) <= 16 else "<u4"
         for batch in in_slices(batches):
             ids = batch.column(0).cast(pa.int64())
@@ -166,7 +167,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str
             yield pa.RecordBatch.from_arrays([ids, pa.array(where), pa.array([len(x) // size for x in data], pa.int64()), pa.array(data, pa.binary())], names=encoded.names)
 
     def write(batches):
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, plain=plain)
         kind, width = "<u2" if width_of(enc) <= 16 else "<u4", width_of(enc)
         shard = out = path = None
         done: list[tuple] = []

@@ -28,7 +28,7 @@ def _simple(text: str) -> bool:
     return not (text[0] in " \n.," or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or _LOOSE_STOP.search(text) or _OTHER_SPACE.search(text))
 
 
-_LOADED: dict[tuple[str, int], "ChunkEncoder"] = {}
+_LOADED: dict[tuple[str, int, bool], "ChunkEncoder"] = {}
 
 
 def _byte_chars() -> dict[int, str]:
@@ -41,17 +41,22 @@ def _byte_chars() -> dict[int, str]:
 class ChunkEncoder:
     """Ids of a text as little-endian unsigned 32-bit integers.
 
-    ``keep``: chunks that are kept in memory at most, in two generations.
+    ``keep``: chunks that are kept in memory at most, in two generations. ``plain``: ids are
+    those of a plain call of the library, in which an added token's name in a text is that
+    token; without it the name is ordinary text.
     """
 
-    def __init__(self, path: str, keep: int = 1_600_000):
+    def __init__(self, path: str, keep: int = 1_600_000, plain: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # a special token's name in a text is ordinary text
+        if not plain:
+            self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             made = json.load(f)
+        names = [t["content"] for t in made.get("added_tokens") or [] if plain or not t["special"]]
+        self.named = re.compile("|".join(map(re.escape, names))) if names else None
         pre = made.get("pre_tokenizer") or {}
         self.by_chunk = (
             made["model"]["type"] == "BPE"
@@ -91,7 +96,7 @@ class ChunkEncoder:
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        if not self.by_chunk:
+        if not self.by_chunk or (self.named and self.named.search(text)):
             return self._whole(text)
         if _simple(text):
             parts = text.replace(" ", "\0 ").replace(".", "\0.").replace(",", "\0,").replace("\n", "\0\n\0").split("\0")
@@ -106,11 +111,11 @@ class ChunkEncoder:
         return b"".join(got)
 
 
-def encoder(path: str, keep: int = 1_600_000) -> ChunkEncoder:
+def encoder(path: str, keep: int = 1_600_000, plain: bool = False) -> ChunkEncoder:
     """The worker's own encoder; it and what it has kept serve all tasks of the worker."""
-    if (path, keep) not in _LOADED:
-        _LOADED[path, keep] = ChunkEncoder(path, keep)
-    return _LOADED[path, keep]
+    if (path, keep, plain) not in _LOADED:
+        _LOADED[path, keep, plain] = ChunkEncoder(path, keep, plain)
+    return _LOADED[path, keep, plain]
 
 
 def in_slices(batches: Iterable, rows: int = 512) -> Iterator:

@@ -360,3 +360,18 @@ def test_simhash_with_null_ids(spark):
     keyed = lambda nodes: simhash.tiled_links(nodes.withColumn("key", F.lit(1).cast("long")).select("key", "node", "fingerprint"), 64)
     out = simhash.grouped(simhash.fingerprints(df), keyed).collect()  # a radius that links all
     assert {r["component_id"] for r in out} == {big} and len(out) == 4
+
+
+def test_queries_give_the_ids_of_a_plain_call(spark, tmp_path):
+    plain = Tokenizer.from_file(queries.TOKENIZER)
+    texts = [*ODD, "a <|endoftext|> b", "<|endoftext|><|endoftext|>\n x. y, z", "one <|endoftext|", "after that"]
+    enc = tokens.ChunkEncoder(queries.TOKENIZER, keep=40, plain=True)
+    ids = [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(enc.encode(t or ""), "<u4").tolist() for t in texts] == ids and 50256 in ids[-4]
+    spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    crc = lambda x: zlib.crc32(np.array(x, "<u4").tobytes())
+    starts = np.cumsum([0] + [len(x) + 1 for x in ids]).tolist()
+    files = sorted(map(tuple, queries.op6_token_binary(spark, str(tmp_path)).collect()))
+    assert files == [(i, starts[i], len(x) + 1, crc([*x, 2])) for i, x in enumerate(ids)]
+    first = {r["doc_id"]: (r["length"], r["ids_crc32"]) for r in queries.op1_best_fit_packing(spark, str(tmp_path)).where("piece = 0").collect()}
+    assert all(first[i] == (len(x) + 1, crc([*x, 2])) for i, x in enumerate(ids) if len(x) < 1024)
