@@ -2,11 +2,11 @@
 
 Three base kinds come from patterns: what ``split`` leaves between the matches and the
 matches themselves give their places, in code points. The entropy kinds are added to
-these: over each candidate string (a run of key characters) a window of ``WIDTH``
-characters slides, and the sum of c * log2(c) over its character counts changes only by
-the character that leaves and the one that enters. Where a window's Shannon entropy
-reaches the class's threshold, the candidate gives the span from its first such window
-to its last, unless the allow-list knows it or it touches a base span.
+these, outside of base spans: over each run of a class's characters (hex digits of one
+case, then what is left of the runs of key characters) a window of ``WIDTH`` characters
+slides, and the sum of c * log2(c) over its character counts changes only by the character
+that leaves and the one that enters. Windows whose Shannon entropy reaches the class's
+threshold and that overlap or touch give one span, unless the allow-list knows the span.
 
 Nulls: a null text is empty and has no spans; a null id stays null. Repeated rows give
 repeated results, an empty table none.
@@ -28,6 +28,12 @@ THRESHOLD = {"entropy_hex": 3.1, "entropy_key": 3.9}
 #: Known not to be secrets: no digit at all, digits alone, UUIDs, documented examples, alphabets.
 ALLOWED = (r"^[^0-9]*$", r"^[0-9+/_=-]*$", r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$", r"EXAMPLE|example", r"(?i)abcdefghij|0123456789")
 
+#: Examples, alphabets and UUIDs that stand by themselves in a run: blanks before windows slide.
+KNOWN = r"(?<![A-Za-z0-9])(?:EXAMPLE|example|(?i:abcdefghij(?:klmnopqrstuvwxyz)?)|0123456789|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12})(?![A-Za-z0-9])"
+#: Runs of hex digits of one case within a candidate.
+HEX_RUNS = ("[0-9a-f]{20,}", "[0-9A-F]{20,}")
+
+_RUNS = "array<struct<first:int,last:int>>"
 _SPAN = "array<struct<start:int,kind:int,end:int,hit:string>>"
 
 
@@ -50,33 +56,55 @@ def _clog(c: Column) -> Column:
     return F.when(c > 1, c * F.log2(c.cast("double"))).otherwise(F.lit(0.0))
 
 
-def high_windows(text: Column, threshold: Column, width: int = WIDTH) -> Column:
-    """(first, last): starts of the first and the last window that reach ``threshold``; nulls if none."""
+def high_runs(text: Column, threshold: Column, width: int = WIDTH) -> Column:
+    """Array of (first, last): starts of the first and the last window of each run of
+    windows that reach ``threshold`` and overlap or touch."""
     chars = F.split(text, "")
     count = lambda run, ch: F.size(F.filter(run, lambda x: x == ch))
     head = F.slice(chars, 1, width)
     begin = F.aggregate(F.array_distinct(head), F.lit(0.0), lambda s, ch: s + _clog(count(head, ch)))
     enough = lambda s: F.lit(float(width)) * (F.log2(F.lit(float(width))) - threshold) >= s - 1e-9
-    none = F.lit(None).cast("int")
-    zero = F.struct(begin.alias("s"), F.when(enough(begin), 0).cast("int").alias("first"), F.when(enough(begin), 0).cast("int").alias("last"))
+    first = F.when(enough(begin), 0).cast("int")
+    zero = F.struct(begin.alias("s"), first.alias("first"), first.alias("last"), F.lit([]).cast(_RUNS).alias("done"))
+    closed = lambda acc: F.concat(acc["done"], F.array(F.struct(acc["first"].alias("first"), acc["last"].alias("last"))))
 
     def step(acc: Column, i: Column) -> Column:
         gone, new, mid = F.get(chars, i - 1), F.get(chars, i + width - 1), F.slice(chars, i + 1, width - 1)
         a, b = count(mid, gone), count(mid, new)
         s = acc["s"] - _clog(a + 1) + _clog(a) - _clog(b) + _clog(b + 1)
-        return F.struct(s.alias("s"), F.coalesce(acc["first"], F.when(enough(s), i).otherwise(none)).alias("first"), F.when(enough(s), i).otherwise(acc["last"]).alias("last"))
+        apart = enough(s) & (i > acc["last"] + width)
+        return F.struct(s.alias("s"), F.when(apart, i).otherwise(F.coalesce(acc["first"], F.when(enough(s), i))).alias("first"), F.when(enough(s), i).otherwise(acc["last"]).alias("last"), F.when(apart, closed(acc)).otherwise(acc["done"]).alias("done"))
 
     steps = F.filter(F.sequence(F.lit(0), F.size(chars) - width), lambda i: i > 0)
-    return F.aggregate(steps, zero, step, lambda a: F.struct(a["first"].alias("first"), a["last"].alias("last")))
+    return F.aggregate(steps, zero, step, lambda a: F.when(a["first"].isNull(), a["done"]).otherwise(closed(a)))
+
+
+def high_windows(text: Column, threshold: Column, width: int = WIDTH) -> Column:
+    """(first, last): starts of the first and the last window that reach ``threshold``; nulls if none."""
+    ends = lambda runs: F.struct(F.get(runs, F.lit(0))["first"].alias("first"), F.get(runs, F.size(runs) - 1)["last"].alias("last"))
+    return F.get(F.transform(F.array(high_runs(text, threshold, width)), ends), F.lit(0))
+
+
+def blanked(text: Column, spans: Column) -> Column:
+    """``text`` with blanks in place of the spans (in order of start)."""
+    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        start = F.greatest(acc["at"], x["start"])
+        more = F.concat(F.substring(text, acc["at"] + 1, start - acc["at"]), F.repeat(F.lit(" "), F.greatest(x["end"] - start, F.lit(0))))
+        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.concat(acc["out"], more).alias("out"))
+
+    rest = lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
+    return F.when(F.size(spans) > 0, F.aggregate(spans, zero, step, rest)).otherwise(text)
 
 
-def _entropy_spans(candidates: Column, base: Column) -> Column:
-    fresh = F.filter(candidates, lambda c: ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+def entropy_spans(runs: Column, name: str) -> Column:
+    """Spans of the windows of each run that reach the threshold of ``name``, less those that
+    the allow-list knows."""
+    of = lambda c: F.transform(high_runs(c["hit"], F.lit(THRESHOLD[name])), lambda w: F.struct((c["start"] + w["first"]).alias("start"), F.lit(KINDS.index(name)).alias("kind"), (c["start"] + w["last"] + WIDTH).alias("end"), F.substring(c["hit"], w["first"] + 1, w["last"] - w["first"] + WIDTH).alias("hit")))
     allowed = "|".join(f"(?:{p})" for p in ALLOWED)
-    fresh = F.filter(fresh, lambda c: ~c["hit"].rlike(allowed))
-    graded = F.transform(fresh, lambda c: F.struct(c.alias("c"), F.when(c["hit"].rlike("^[0-9a-f]+$|^[0-9A-F]+$"), 3).otherwise(4).alias("kind")))
-    windows = F.transform(graded, lambda g: F.struct(g["c"].alias("c"), g["kind"].alias("kind"), high_windows(g["c"]["hit"], F.when(g["kind"] == 3, THRESHOLD["entropy_hex"]).otherwise(THRESHOLD["entropy_key"])).alias("w")))
-    return F.transform(F.filter(windows, lambda x: x["w"]["first"].isNotNull()), lambda x: F.struct((x["c"]["start"] + x["w"]["first"]).alias("start"), x["kind"].alias("kind"), (x["c"]["start"] + x["w"]["last"] + WIDTH).alias("end"), x["c"]["hit"].alias("hit")))
+    spans = F.filter(F.flatten(F.transform(runs, of)), lambda x: ~x["hit"].rlike(allowed))
+    return F.when(F.size(runs) > 0, spans).otherwise(F.lit([]).cast(_SPAN))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -84,8 +112,13 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     text = F.coalesce(F.col("__text"), F.lit(""))
     assign = F.filter(found(text, ASSIGN, 0), lambda x: F.length(F.regexp_extract(x["hit"], "^" + ASSIGN + "$", 2)) >= 8)
     rows = docs.select(F.col(id_col), F.col(text_col).alias("__text"))
-    rows = rows.select(id_col, "__text", F.array_sort(F.concat(assign, found(text, ACCESS, 1), found(text, HEX, 2))).alias("base"), found(text, CANDIDATE, 4).alias("__candidates"))
-    return rows.select(id_col, "base", F.when(F.size("__candidates") > 0, F.array_sort(_entropy_spans(F.col("__candidates"), F.col("base")))).otherwise(F.lit([]).cast(_SPAN)).alias("added"))
+    rows = rows.select(id_col, "__text", F.array_sort(F.concat(assign, found(text, ACCESS, 1), found(text, HEX, 2))).alias("base"), found(text, KNOWN, -1).alias("__known"))
+    rows = rows.select(id_col, "base", blanked(text, F.array_sort(F.concat("base", "__known"))).alias("__text"))
+    rows = rows.select(id_col, "base", "__text", *[entropy_spans(found(F.col("__text"), run, 3), "entropy_hex").alias(n) for n, run in zip(("__lower", "__upper"), HEX_RUNS)])
+    upper = F.filter("__upper", lambda u: ~F.exists("__lower", lambda w: (w["start"] < u["end"]) & (u["start"] < w["end"])))
+    rows = rows.select(id_col, "base", "__text", F.array_sort(F.concat("__lower", upper)).alias("__hex"))
+    rows = rows.select(id_col, "base", "__hex", found(blanked(F.col("__text"), F.col("__hex")), CANDIDATE, 4).alias("__runs"))
+    return rows.select(id_col, "base", F.array_sort(F.concat("__hex", entropy_spans(F.col("__runs"), "entropy_key"))).alias("added"))
 
 
 def listed(spans: Column) -> Column:

@@ -375,3 +375,25 @@ def test_queries_give_the_ids_of_a_plain_call(spark, tmp_path):
     assert files == [(i, starts[i], len(x) + 1, crc([*x, 2])) for i, x in enumerate(ids)]
     first = {r["doc_id"]: (r["length"], r["ids_crc32"]) for r in queries.op1_best_fit_packing(spark, str(tmp_path)).where("piece = 0").collect()}
     assert all(first[i] == (len(x) + 1, crc([*x, 2])) for i, x in enumerate(ids) if len(x) < 1024)
+
+
+def test_secrets_by_class_within_a_run(spark):
+    """Hex keys behind a name, keys beside examples, alphabets and base spans are found."""
+    rng = np.random.default_rng(8)
+    hexes = ["".join(rng.choice(list("0123456789abcdef"), 28)) for _ in range(60)]
+    key = "Zx9Qw3Er7Ty1Ui5Op2As8Df4Gh6Jk0Lb"
+    texts = [p + h for h in hexes for p in ("sig=", "key=", "v1/", "hash_")]
+    n = len(texts)
+    texts += [f"/example/of/a/{key} end", f"0123456789/{key}", f"{key}/token=abcdefgh12", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "x/123e4567-e89b-12d3-a456-426614174000/y"]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], DOCS)
+    got = {r[0]: r[1] for r in secrets.scan(df).select("doc_id", secrets.listed(F.col("added"))).collect()}
+    entropy = lambda t: -sum(c / 20 * math.log2(c / 20) for c in Counter(t).values())
+    for i in range(n):
+        h, at = hexes[i // 4], len(texts[i]) - 28
+        high = [k for k in range(9) if entropy(h[k : k + 20]) >= 3.1 - 1e-9]
+        assert got[i] == (f"entropy_hex:{at + high[0]}:{at + high[-1] + 20}" if high else "")
+    spans = {i: [s.split(":") for s in got[n + i].split(",") if s] for i in range(5)}
+    assert all(len(spans[i]) == 1 and spans[i][0][0] == "entropy_key" for i in range(3)) and not spans[3] and not spans[4]
+    for i in range(3):
+        at = texts[n + i].index(key)
+        assert int(spans[i][0][1]) <= at and int(spans[i][0][2]) >= at + 32
