@@ -11,8 +11,8 @@ are rescored exactly, and otherwise the next segments follow. Nothing is approxi
 
 Vectors that are null, or hold null or non-finite components, take no part, nor do
 candidates of another length than the query. Ties go to the smaller id. A candidate with
-the query's own id is left out. Repeated candidate rows count each; a repeated query id
-is one query. Empty tables give no rows.
+the query's own id is left out. Repeated candidate rows count each; of a repeated query
+id the valid row with the least vector is the query. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -115,7 +115,9 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: floa
     spark = vectors.sparkSession
     part = T.StructType([T.StructField("query_id", T.LongType()), T.StructField(id_col, T.LongType()), T.StructField("score", T.LongType())])
     out = None
-    for block in _query_blocks(queries.where(F.col(vec_col).isNotNull() & F.col(id_col).isNotNull()).dropDuplicates([id_col]), id_col, vec_col, query_rows):
+    finite = F.forall(vec_col, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) != math.inf))
+    valid = queries.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull() & (F.size(vec_col) > 0) & finite)
+    for block in _query_blocks(valid.groupBy(id_col).agg(F.min(vec_col).alias(vec_col)), id_col, vec_col, query_rows):
         groups = integer_vectors(pa.array([r[0] for r in block], pa.int64()), pa.array([r[1] for r in block], pa.list_(pa.float64())), scale)
         shared = spark.sparkContext.broadcast([(i, v) for i, v in groups if len(i)])
 

@@ -397,3 +397,10 @@ def test_secrets_by_class_within_a_run(spark):
     for i in range(3):
         at = texts[n + i].index(key)
         assert int(spans[i][0][1]) <= at and int(spans[i][0][2]) >= at + 32
+
+
+def test_top_k_takes_the_valid_row_of_a_repeated_query(spark):
+    rows = [(i, v) for i in range(0, 200, 20) for v in ([float("nan"), 1.0], [None, 1.0], [0.5, 0.5], [0.5, 0.25], [float("inf"), 0.0], [])]
+    df = spark.createDataFrame(rows + [(1, [1.0, 0.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    out = topk.exact_top_k(df.where("vec_id in (1, 2)"), df.where("vec_id % 20 = 0"), k=2).collect()
+    assert sorted(map(tuple, out)) == sorted(x for i in range(0, 200, 20) for x in [(i, 1, 1, 2048), (i, 2, 2, 1024)])
