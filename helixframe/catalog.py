@@ -260,10 +260,11 @@ def transitive_groups(spark, d):
 
 @query("collapse_weighted", f"""WITH RECURSIVE {_PAIRS}, e AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs), r(node, reach) AS (SELECT a, a FROM e UNION SELECT r.node, e.b FROM r JOIN e ON r.reach = e.a),
 g AS (SELECT node, min(reach) AS component FROM r GROUP BY node), j AS (SELECT c.*, coalesce(g.component, c.id) AS grp FROM calls c LEFT JOIN g ON c.id = g.node)
-SELECT grp AS "group", min(start) AS start, max("end") AS "end", count(*) AS members, round(round(sum(score * ("end" - start)) / sum("end" - start), 3), 0) AS score FROM j GROUP BY grp""")
+SELECT grp AS "group", min(start) AS start, max("end") AS "end", count(*) AS members, round(round(sum(score * ("end" - start)) / sum("end" - start), 3), 2) AS score FROM j GROUP BY grp""")
 def collapse_weighted(spark, d):
     out = merge.smoothed(_calls(spark, d), "id", 30, 0.5, {"score": "weighted_avg"}, kind="kind")
-    return out.select("group", "start", "end", "members", F.round("score", 0).alias("score"))
+    # rounded as the double that it is: F.round(score, 2) would round its shortest decimal, and ties apart from SQL
+    return out.select("group", "start", "end", "members", (F.round(F.col("score") * 100) / 100).alias("score"))
 
 
 @query("weighted_majority", "WITH s AS (SELECT o_custkey, o_orderpriority, sum(o_totalprice) AS w FROM orders GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY w DESC, o_orderpriority) AS k FROM s) SELECT o_custkey, o_orderpriority FROM r WHERE k = 1")

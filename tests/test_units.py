@@ -242,3 +242,11 @@ def test_catalog_texts_are_whole(spark, tmp_path):
     assert rows("gc_share")[1]["gc"] == round((coded.count("G") + coded.count("C")) / len(coded), 8) and rows("gc_share")[2]["gc"] is None
     places = sorted((r["place"], r["a"]) for r in QUERIES["ragged_explode"](spark, str(tmp_path)).collect() if r["doc_id"] == 1)
     assert places == list(enumerate(text.split(" ")))
+
+
+def test_weighted_scores_keep_their_decimals(spark, sf):
+    from helixframe.catalog import QUERIES, SQL
+
+    assert ", 3), 2) AS score" in SQL["collapse_weighted"]
+    scores = [r["score"] for r in QUERIES["collapse_weighted"](spark, sf).select("score").collect()]
+    assert any(s != round(s) for s in scores) and all(s == round(s, 2) for s in scores)
