@@ -51,7 +51,7 @@ from .shared import written
 GRAM, LONG, ORDER = 20, 40, 64
 #: Windows a stretch and bytes a block at most; bytes of text that a slice holds, that a
 #: bucket stands for and that a task reads; window places looked at together.
-STRETCH, BLOCK, SLICE, BUCKET, TASK, CHUNK = 128, 1 << 18, 4 << 20, 24 << 20, 32 << 20, 1 << 15
+STRETCH, BLOCK, SLICE, BUCKET, TASK, CHUNK = 128, 1 << 18, 4 << 20, 16 << 20, 16 << 20, 1 << 15
 #: Slices that hold a minimizer from which on it is split, and tasks over buckets at most.
 HOT, TASKS = 4096, 50_000
 _NULL_ID = -(2**63)
