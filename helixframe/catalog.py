@@ -158,15 +158,20 @@ def blacklist_annotate(spark, d):
 
 
 def _a(spark, d):
-    """Intervals of line items: chrom is the flag, from the part key on, as long as the quantity."""
-    return t(spark, d, "lineitem").where("l_linenumber = 1").select(F.col("l_returnflag").alias("chrom"), (F.col("l_partkey") * 10).alias("start"), (F.col("l_partkey") * 10 + F.col("l_quantity").cast("long")).alias("end"), F.col("l_orderkey").alias("id"))
+    """The different intervals of line items: chrom is the flag, from the part key on, as long as the quantity."""
+    rows = t(spark, d, "lineitem").select(F.col("l_returnflag").alias("chrom"), (F.col("l_partkey") * 10).alias("start"), (F.col("l_partkey") * 10 + F.col("l_quantity").cast("long")).alias("end")).distinct()
+    return rows.withColumn("id", F.concat_ws(":", "chrom", "start", "end"))
+
+
+#: Positions of a region in sweeps.
+_REGION = 1 << 12
 
 
 def _b(spark, d):
     return t(spark, d, "part").select(F.when(F.col("p_partkey") % 3 == 0, "A").when(F.col("p_partkey") % 3 == 1, "N").otherwise("R").alias("chrom"), (F.col("p_partkey") * 10 + 5).alias("start"), (F.col("p_partkey") * 10 + 5 + F.col("p_size")).alias("end"), F.col("p_retailprice").alias("value"), F.col("p_name").alias("name"), F.col("p_partkey").alias("pid"))
 
 
-_AB = """a AS (SELECT l_returnflag AS chrom, l_partkey * 10 AS start, l_partkey * 10 + l_quantity::BIGINT AS "end", l_orderkey AS id FROM lineitem WHERE l_linenumber = 1),
+_AB = """a AS (SELECT chrom, start, "end", chrom || ':' || start || ':' || "end" AS id FROM (SELECT DISTINCT l_returnflag AS chrom, l_partkey * 10 AS start, l_partkey * 10 + l_quantity::BIGINT AS "end" FROM lineitem)),
 b AS (SELECT CASE p_partkey % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'N' ELSE 'R' END AS chrom, p_partkey * 10 + 5 AS start, p_partkey * 10 + 5 + p_size AS "end", p_retailprice AS value, p_name AS name, p_partkey AS pid FROM part)"""
 
 
@@ -202,30 +207,32 @@ def point_in_interval(spark, d):
     return intervals.points_in(points, _b(spark, d), 50, left_open=True).groupBy("id").agg(F.count("b_pid").alias("n"))
 
 
-@query("interval_nearest", f"""WITH {_AB}, x AS (SELECT a.id, CASE WHEN b.start > a.start THEN b.start - a.start WHEN b."end" <= a.start THEN a.start - b."end" + 1 ELSE 0 END AS d FROM a JOIN b ON a.chrom = b.chrom)
-SELECT id, min(d) AS distance FROM x GROUP BY 1""")
+@query("interval_nearest", f"""WITH {_AB}, p AS (SELECT DISTINCT chrom, start AS pos FROM a),
+x AS (SELECT p.chrom, p.pos, max(struct_pack(far := b."end", lo := -b.start, name := b.name)) FILTER (WHERE b.start <= p.pos) AS l, min(struct_pack(lo := b.start, hi := b."end", name := b.name)) FILTER (WHERE b.start > p.pos) AS r FROM p LEFT JOIN b ON p.chrom = b.chrom GROUP BY 1, 2),
+y AS (SELECT *, greatest(pos - l.far + 1, 0) AS dl, r.lo - pos AS dr FROM x)
+SELECT chrom, pos, CASE WHEN l IS NOT NULL AND (r IS NULL OR dl <= dr) THEN l.name ELSE r.name END AS nearest, CASE WHEN l IS NOT NULL AND (r IS NULL OR dl <= dr) THEN dl ELSE dr END AS distance FROM y""")
 def interval_nearest(spark, d):
-    points = _a(spark, d).select("chrom", F.col("start").alias("pos"), "id")
-    return intervals.nearest(points, _b(spark, d)).groupBy("id").agg(F.min("distance").alias("distance"))
+    points = _a(spark, d).select("chrom", F.col("start").alias("pos")).distinct()
+    return intervals.nearest(points, _b(spark, d), region=_REGION)
 
 
 @query("interval_merge", f"""WITH {_AB}, s AS (SELECT *, max("end") OVER (PARTITION BY chrom ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM a),
 g AS (SELECT *, sum(CASE WHEN r IS NULL OR start > r THEN 1 ELSE 0 END) OVER (PARTITION BY chrom ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS i FROM s)
 SELECT chrom, min(start) AS start, max("end") AS "end", count(*) AS n FROM g GROUP BY chrom, i""")
 def interval_merge(spark, d):
-    return intervals.merged(_a(spark, d))
+    return intervals.merged(_a(spark, d), region=_REGION)
 
 
 @query("interval_intersect", f"""WITH {_AB}, pa AS (SELECT DISTINCT chrom, unnest(range(start, "end")) AS p FROM a), pb AS (SELECT DISTINCT chrom, unnest(range(start, "end")) AS p FROM b)
 SELECT pa.chrom, count(*) AS bases FROM pa JOIN pb ON pa.chrom = pb.chrom AND pa.p = pb.p GROUP BY 1""")
 def interval_intersect(spark, d):
-    return intervals.intersected([_a(spark, d), _b(spark, d)]).groupBy("chrom").agg(F.sum(F.col("end") - F.col("start")).alias("bases"))
+    return intervals.intersected([_a(spark, d), _b(spark, d)], region=_REGION).groupBy("chrom").agg(F.sum(F.col("end") - F.col("start")).alias("bases"))
 
 
 @query("interval_exclude", f"""WITH {_AB}, pa AS (SELECT DISTINCT chrom, unnest(range(start, "end")) AS p FROM a), pb AS (SELECT DISTINCT chrom, unnest(range(start, "end")) AS p FROM b)
 SELECT pa.chrom, count(*) AS bases FROM pa LEFT JOIN pb ON pa.chrom = pb.chrom AND pa.p = pb.p WHERE pb.p IS NULL GROUP BY 1""")
 def interval_exclude(spark, d):
-    return intervals.intersected([_a(spark, d)], [_b(spark, d)]).groupBy("chrom").agg(F.sum(F.col("end") - F.col("start")).alias("bases"))
+    return intervals.intersected([_a(spark, d)], [_b(spark, d)], region=_REGION).groupBy("chrom").agg(F.sum(F.col("end") - F.col("start")).alias("bases"))
 
 
 @query("genomic_windows", "WITH s AS (SELECT c_nationkey AS chrom, count(*) * 7 AS length FROM customer GROUP BY 1) SELECT chrom, unnest(range(0, length, 10)) AS start, least(unnest(range(0, length, 10)) + 10, length) AS \"end\" FROM s")

@@ -21,8 +21,15 @@ def last_nonzero(value: str, place: str, keys: list[str], order: list[str]) -> C
     return F.last(F.when(F.col(value) != 0, F.col(place)), ignorenulls=True).over(_w(keys, order).rowsBetween(Window.unboundedPreceding, 0))
 
 
+def _backward(keys: list[str], order: list[str]):
+    """The window in reverse: Spark keeps a running value up to a row, but computes what
+    follows a row anew for each row."""
+    return Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order])
+
+
 def next_nonzero(value: str, place: str, keys: list[str], order: list[str]) -> Column:
-    return F.first(F.when(F.col(value) != 0, F.col(place)), ignorenulls=True).over(_w(keys, order).rowsBetween(0, Window.unboundedFollowing))
+    """``place`` of the row itself or the nearest after it whose value isn't 0."""
+    return F.last(F.when(F.col(value) != 0, F.col(place)), ignorenulls=True).over(_backward(keys, order).rowsBetween(Window.unboundedPreceding, 0))
 
 
 def true_runs(df: DataFrame, flag: str, place: str, keys: list[str]) -> DataFrame:
@@ -74,7 +81,7 @@ def skyline(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     """Points that no other point of their group beats in ``x`` and ``y`` (equal in one counts
     if better in the other)."""
     best = df.groupBy(*keys, x).agg(F.max(y).alias("__y"))
-    above = F.max("__y").over(_w(keys, [x]).rowsBetween(1, Window.unboundedFollowing))
+    above = F.max("__y").over(_backward(keys, [x]).rowsBetween(Window.unboundedPreceding, -1))
     front = best.withColumn("__a", above).where("__a IS NULL OR __y > __a").select(*keys, x, F.col("__y").alias(y))
     return df.join(front, [*keys, x, y], "left_semi")
 
