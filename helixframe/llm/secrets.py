@@ -14,6 +14,8 @@ repeated results, an empty table none.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +24,10 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS, HEX = "AKIA[A-Z0-9]{12,}", "[0-9a-f]{32,}"
 KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_key")
 WIDTH = 20
+#: All characters of candidates.
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+#: Matches of a text whose places are summed up together.
+MATCHES = 256
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 #: Bits a character at which a window counts, by class.
 THRESHOLD = {"entropy_hex": 3.1, "entropy_key": 3.9}
@@ -37,52 +43,81 @@ _RUNS = "array<struct<first:int,last:int>>"
 _SPAN = "array<struct<start:int,kind:int,end:int,hit:string>>"
 
 
-def found(text: Column, pattern: str, kind: int) -> Column:
-    """Leftmost non-overlapping matches: array of (start, kind, end, hit)."""
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    zipped = F.zip_with(hits, F.slice(gaps, 1, F.size(hits)), lambda h, g: F.struct(F.length(g).alias("gap"), F.length(h).alias("n"), h.alias("hit")))
-    zero = F.struct(F.lit(0).alias("at"), F.lit([]).cast(_SPAN).alias("out"))
+def _let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is computed once: what a lambda names is computed for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _spans(matches: Column, at: Column, kind: int) -> Column:
+    """Spans of matches (gap, n, hit) that follow each other from ``at`` on."""
+    zero = F.struct(at.alias("at"), F.lit([]).cast(_SPAN).alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + x["gap"]
         span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), (start + x["n"]).alias("end"), x["hit"].alias("hit"))
         return F.struct((start + x["n"]).alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
 
-    return F.when(text.rlike(pattern), F.aggregate(zipped, zero, step, lambda a: a["out"])).otherwise(F.lit([]).cast(_SPAN))
+    return F.aggregate(matches, zero, step, lambda a: a["out"])
 
 
-def _clog(c: Column) -> Column:
-    return F.when(c > 1, c * F.log2(c.cast("double"))).otherwise(F.lit(0.0))
+def found(text: Column, pattern: str, kind: int) -> Column:
+    """Leftmost non-overlapping matches: array of (start, kind, end, hit). Places are summed up
+    over blocks of ``MATCHES`` matches and within them."""
+    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    gaps = F.split(text, pattern, -1)
+    zipped = F.zip_with(hits, gaps, lambda h, g: F.struct(F.length(g).alias("gap"), F.length(h).alias("n"), h.alias("hit")))
+    matches = F.filter(zipped, lambda m: m["n"].isNotNull())  # there is one gap more
+
+    def summed(m: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(1), F.size(m), F.lit(MATCHES)), lambda b: F.slice(m, b, MATCHES))
+        total = lambda block: F.aggregate(block, F.lit(0), lambda s, x: s + x["gap"] + x["n"])
+        ends = lambda bs: F.aggregate(F.transform(bs, total), F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+        placed = lambda bs: F.flatten(F.zip_with(bs, F.slice(ends(bs), F.lit(1), F.size(bs)), lambda block, at: _spans(block, at, kind)))
+        return F.when(F.size(m) <= MATCHES, _spans(m, F.lit(0), kind)).otherwise(_let(blocks, placed))
 
+    return F.when(text.rlike(pattern), _let(matches, summed)).otherwise(F.lit([]).cast(_SPAN))
 
-def high_runs(text: Column, threshold: Column, width: int = WIDTH) -> Column:
+
+def high_runs(text: Column, threshold: float, width: int = WIDTH) -> Column:
     """Array of (first, last): starts of the first and the last window of each run of
-    windows that reach ``threshold`` and overlap or touch."""
-    chars = F.split(text, "")
-    count = lambda run, ch: F.size(F.filter(run, lambda x: x == ch))
-    head = F.slice(chars, 1, width)
-    begin = F.aggregate(F.array_distinct(head), F.lit(0.0), lambda s, ch: s + _clog(count(head, ch)))
-    enough = lambda s: F.lit(float(width)) * (F.log2(F.lit(float(width))) - threshold) >= s - 1e-9
-    first = F.when(enough(begin), 0).cast("int")
-    zero = F.struct(begin.alias("s"), first.alias("first"), first.alias("last"), F.lit([]).cast(_RUNS).alias("done"))
+    windows that reach ``threshold`` and overlap or touch.
+
+    The accumulator holds the counts of all characters of the window, as a string with a
+    letter for each character of ``ALPHABET`` (from A for none), and the sum of c * log2(c).
+    For each character of the text, the one that leaves the window lowers its count and the
+    one that enters raises its own; the sum changes by these two.
+    """
+    clog = F.array(*[F.lit(c * math.log2(c) if c > 1 else 0.0) for c in range(width + 1)])
+    most = width * (math.log2(width) - threshold) + 1e-9
+    places = F.transform(F.split(text, ""), lambda c: F.instr(F.lit(ALPHABET), c))
+    event = lambda place, by: F.struct(place.alias("place"), F.lit(by).alias("by"))
+    events = _let(places, lambda p: F.flatten(F.zip_with(F.slice(F.concat(F.array_repeat(F.lit(0), width), p), F.lit(1), F.size(p)), p, lambda gone, new: F.array(event(gone, -1), event(new, 1)))))
+    none = F.lit(None).cast("int")
+    zero = F.struct(F.lit("A" * len(ALPHABET)).alias("counts"), F.lit(0.0).alias("s"), F.lit(-width).alias("at"), none.alias("first"), none.alias("last"), F.lit([]).cast(_RUNS).alias("done"))
     closed = lambda acc: F.concat(acc["done"], F.array(F.struct(acc["first"].alias("first"), acc["last"].alias("last"))))
 
-    def step(acc: Column, i: Column) -> Column:
-        gone, new, mid = F.get(chars, i - 1), F.get(chars, i + width - 1), F.slice(chars, i + 1, width - 1)
-        a, b = count(mid, gone), count(mid, new)
-        s = acc["s"] - _clog(a + 1) + _clog(a) - _clog(b) + _clog(b + 1)
-        apart = enough(s) & (i > acc["last"] + width)
-        return F.struct(s.alias("s"), F.when(apart, i).otherwise(F.coalesce(acc["first"], F.when(enough(s), i))).alias("first"), F.when(enough(s), i).otherwise(acc["last"]).alias("last"), F.when(apart, closed(acc)).otherwise(acc["done"]).alias("done"))
+    def counted(acc: Column, e: Column) -> Column:
+        count = F.ascii(F.substring(acc["counts"], e["place"], F.lit(1))) - 65
+        moved = lambda c: F.struct(F.overlay(acc["counts"], F.char(c + e["by"] + 65), e["place"], F.lit(1)).alias("counts"), (acc["s"] - F.get(clog, c) + F.get(clog, c + e["by"])).alias("s"), acc["at"].alias("at"), acc["first"].alias("first"), acc["last"].alias("last"), acc["done"].alias("done"))
+        return _let(count, moved)
+
+    def noted(acc: Column) -> Column:
+        at = acc["at"] + 1
+        high = (at >= 0) & (acc["s"] <= most)
+        apart = high & (at > acc["last"] + width)
+        first = F.when(apart, at).otherwise(F.coalesce(acc["first"], F.when(high, at)))
+        return F.struct(acc["counts"].alias("counts"), acc["s"].alias("s"), at.alias("at"), first.alias("first"), F.when(high, at).otherwise(acc["last"]).alias("last"), F.when(apart, closed(acc)).otherwise(acc["done"]).alias("done"))
+
+    def step(acc: Column, e: Column) -> Column:
+        return F.when(e["place"] == 0, acc).when(e["by"] < 0, counted(acc, e)).otherwise(_let(counted(acc, e), noted))
 
-    steps = F.filter(F.sequence(F.lit(0), F.size(chars) - width), lambda i: i > 0)
-    return F.aggregate(steps, zero, step, lambda a: F.when(a["first"].isNull(), a["done"]).otherwise(closed(a)))
+    return F.aggregate(events, zero, step, lambda a: F.when(a["first"].isNull(), a["done"]).otherwise(closed(a)))
 
 
-def high_windows(text: Column, threshold: Column, width: int = WIDTH) -> Column:
+def high_windows(text: Column, threshold: float, width: int = WIDTH) -> Column:
     """(first, last): starts of the first and the last window that reach ``threshold``; nulls if none."""
     ends = lambda runs: F.struct(F.get(runs, F.lit(0))["first"].alias("first"), F.get(runs, F.size(runs) - 1)["last"].alias("last"))
-    return F.get(F.transform(F.array(high_runs(text, threshold, width)), ends), F.lit(0))
+    return _let(high_runs(text, threshold, width), ends)
 
 
 def blanked(text: Column, spans: Column) -> Column:
@@ -101,7 +136,7 @@ def blanked(text: Column, spans: Column) -> Column:
 def entropy_spans(runs: Column, name: str) -> Column:
     """Spans of the windows of each run that reach the threshold of ``name``, less those that
     the allow-list knows."""
-    of = lambda c: F.transform(high_runs(c["hit"], F.lit(THRESHOLD[name])), lambda w: F.struct((c["start"] + w["first"]).alias("start"), F.lit(KINDS.index(name)).alias("kind"), (c["start"] + w["last"] + WIDTH).alias("end"), F.substring(c["hit"], w["first"] + 1, w["last"] - w["first"] + WIDTH).alias("hit")))
+    of = lambda c: F.transform(high_runs(c["hit"], THRESHOLD[name]), lambda w: F.struct((c["start"] + w["first"]).alias("start"), F.lit(KINDS.index(name)).alias("kind"), (c["start"] + w["last"] + WIDTH).alias("end"), F.substring(c["hit"], w["first"] + 1, w["last"] - w["first"] + WIDTH).alias("hit")))
     allowed = "|".join(f"(?:{p})" for p in ALLOWED)
     spans = F.filter(F.flatten(F.transform(runs, of)), lambda x: ~x["hit"].rlike(allowed))
     return F.when(F.size(runs) > 0, spans).otherwise(F.lit([]).cast(_SPAN))

@@ -283,17 +283,28 @@ def test_top_k(spark, duck):
     assert topk.exact_top_k(df, df.limit(0)).count() == 0
 
 
-def test_top_k_bounds_are_exact():
+@pytest.mark.parametrize("spread", [1, 40, 10**6])
+def test_top_k_index_by_brute_force(spread):
     rng = np.random.default_rng(4)
-    vectors = np.floor(64 * rng.normal(0, 0.12, (6000, 64)) + 60 * rng.normal(0, 0.2, (10, 64))[rng.integers(0, 10, 6000)])
-    q = vectors[:40]
+    vectors = np.floor(64 * rng.normal(0, 0.12, (6000, 64)) + 60 * rng.normal(0, 0.2, (10, 64))[rng.integers(0, 10, 6000)]).astype(np.int64) * spread
+    vectors[5000:5200] = vectors[:200]  # ties
+    ids = np.arange(6000)
+    ids[5990:] = 3  # rows that repeat a query's id
     best = topk.Best(40, 20)
     for a in range(0, 6000, 500):
-        topk.search_block(best, np.arange(40), np.arange(40), q.astype(np.float32), np.arange(a, a + 500), vectors[a : a + 500].astype(np.float32))
-    scores = (q @ vectors.T).astype(np.int64)
+        block = topk.IndexBlock(ids[a : a + 500], vectors[a : a + 500])
+        for row in range(40):
+            block.search(best, row, row, vectors[row])
+    scores = vectors[:40] @ vectors.T
     for i in range(40):
-        order = sorted((j for j in range(6000) if j != i), key=lambda j: (-scores[i, j], j))[:20]
-        assert best.ids[i].tolist() == order
+        order = sorted((j for j in range(6000) if ids[j] != i), key=lambda j: (-scores[i, j], ids[j]))[:20]
+        assert best.ids[i].tolist() == [ids[j] for j in order] and best.scores[i].tolist() == [scores[i, j] for j in order]
+
+
+def test_top_k_over_many_blocks(spark, duck):
+    df = spark.read.parquet(f"{SF}/embeddings.parquet").withColumn("group", F.lit("x")).withColumn("dims", F.lit(1))
+    out = topk.exact_top_k(df, df.where("vec_id % 20 = 0"), block_rows=16, query_rows=2)
+    assert sorted(map(tuple, out.collect())) == sorted(duck.sql(queries.ORACLE_SQL["op8_exact_top_k"]).fetchall())
 
 
 def test_secrets(spark):
@@ -315,7 +326,7 @@ def test_entropy_windows_by_brute_force(spark):
     rng = np.random.default_rng(6)
     texts = ["".join(rng.choice(list("abcdef012345XYZ+/")[: int(k)], 60)) for k in rng.integers(2, 17, 40)]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
-    for t, w in df.select("t", secrets.high_windows(F.col("t"), F.lit(2.5))).collect():
+    for t, w in df.select("t", secrets.high_windows(F.col("t"), 2.5)).collect():
         entropy = [-sum(c / 20 * math.log2(c / 20) for c in Counter(t[i : i + 20]).values()) for i in range(41)]
         high = [i for i, e in enumerate(entropy) if e >= 2.5 - 1e-9]
         assert (w["first"], w["last"]) == ((high[0], high[-1]) if high else (None, None))
