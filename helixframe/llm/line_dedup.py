@@ -7,7 +7,9 @@ repeat is judged on the input, so that a line may go for any window it lies in.
 
 Nulls: a null text stays null and has no lines; an empty text is one empty line. A text
 of fewer lines than ``width`` has no window. Rows that share an id are one document in
-no set order, so ids should be unique; a null id sorts first. Other columns are kept.
+no set order, so ids should be unique; a null id sorts first. Other columns are kept,
+but columns named ``n_lines`` and ``n_removed`` are replaced. A very long text is worked on
+as an array of its lines. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -37,18 +39,20 @@ def dedup_lines(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_co
     reach = width
     firsts = F.filter("at", lambda x, i: (i == 0) | (x > F.get("at", i - 1) + reach))
     ends = F.transform(F.filter("at", lambda x, i: (i == F.size("at") - 1) | (F.get("at", i + 1) > x + reach)), lambda x: x + width)
-    runs = covered.withColumn("firsts", firsts).withColumn("ends", ends).select("__id", "firsts", "ends")
-    joined = docs.join(runs, docs[id_col].eqNullSafe(runs["__id"]), "left")
-    lines = F.split(F.col(text_col), "\n")
+    runs = covered.select("__id", firsts.alias("firsts"), ends.alias("ends"))
+    others = [c for c in docs.columns if c not in (text_col, "n_lines", "n_removed")]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"), F.col(id_col).alias("own"), F.col(text_col).alias("__text"))
+    joined = rows.join(runs, rows["own"].eqNullSafe(runs["__id"]), "left")
+    lines = F.split("__text", "\n")
     cuts = F.transform(F.sequence(F.lit(0), F.size("firsts")), lambda k: F.slice("__lines", F.coalesce(F.get("ends", k - 1), F.lit(0)) + 1, F.coalesce(F.get("firsts", k), F.size("__lines")) - F.coalesce(F.get("ends", k - 1), F.lit(0))))
     gone = F.aggregate(F.zip_with("ends", "firsts", lambda e, f: e - f), F.lit(0), lambda x, y: x + y)
-    kept = F.when(F.col("firsts").isNull(), F.col(text_col)).otherwise(F.array_join(F.flatten(cuts), "\n"))
+    kept = F.when(F.col("firsts").isNull(), F.col("__text")).otherwise(F.array_join(F.flatten(cuts), "\n"))
     return (
-        joined.withColumn("__lines", F.when(F.col(text_col).isNotNull(), lines))
+        joined.withColumn("__lines", F.when(F.col("__text").isNotNull(), lines))
         .withColumn("__kept", kept)
         .withColumn("n_lines", F.coalesce(F.size("__lines"), F.lit(0)).cast("long"))
         .withColumn("n_removed", F.coalesce(gone, F.lit(0)).cast("long"))
-        .select(*[F.col("__kept").alias(text_col) if c == text_col else docs[c] for c in docs.columns], "n_lines", "n_removed")
+        .select(*[F.col("__kept").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns if c not in ("n_lines", "n_removed")], "n_lines", "n_removed")
     )
 
 

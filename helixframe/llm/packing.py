@@ -89,7 +89,7 @@ def best_fit_runs(counts: dict[int, int], capacity: int) -> tuple[list[tuple], i
     return runs, bins
 
 
-def tokenized_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text", plain: bool = False) -> DataFrame:
+def tokenized_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text", plain: bool = True) -> DataFrame:
     """Token ids of each text and the end id, cut into pieces of at most ``capacity``.
 
     All pieces of a longer document but its first hold ``capacity`` ids. Columns: the id,
@@ -115,14 +115,16 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int
     return docs.select(id_col, text_col).mapInArrow(cut, schema)
 
 
-def pack_best_fit(pieces: DataFrame, capacity: int, length_col: str = "length", rows_per_block: int = 50_000) -> DataFrame:
+def pack_best_fit(pieces: DataFrame, capacity: int, length_col: str = "length", rows_per_block: int = 8_000) -> DataFrame:
     """``pieces`` with ``sequence_id`` and ``offset``; lengths must be 1 to ``capacity``.
+    Columns of these names that ``pieces`` has are replaced.
 
     ``pieces`` is read twice, so it should be a written table. Ranks within a length come
     from the counts of hashed blocks and a rank within the block, so that a length that
     most pieces share (the full ones) is spread like any other.
     """
     spark = pieces.sparkSession
+    pieces = pieces.select(*[F.col(f"`{c}`") for c in pieces.columns if c not in ("sequence_id", "offset")])
     blocks = max(1, -(-rows_of(pieces) // rows_per_block))
     own = [c for c in pieces.columns]
     keyed = pieces.withColumn("__block", F.pmod(F.xxhash64(*[c for c, t in pieces.dtypes if not t.startswith("map")]), F.lit(blocks)))

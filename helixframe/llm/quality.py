@@ -109,7 +109,7 @@ def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = 8000, vocabulary:
         for batch in in_slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(2).cast(pa.int32()), batch.column(3).cast(pa.int32()), pa.array(["\n".join(sorted(tokens(t))) for t in batch.column(1).to_pylist()])], names=schema.names)
 
-    rows = sorted(found.select(id_col, text_col, "quality", "toxic").mapInArrow(run, schema).limit(fit_rows).collect(), key=lambda r: (r[0], str(r[1:])))
+    rows = sorted(found.select(id_col, text_col, "quality", "toxic").mapInArrow(run, schema).orderBy("id", "quality", "toxic", F.xxhash64("tokens")).limit(fit_rows).collect(), key=lambda r: (r[0], str(r[1:])))
     df: Counter = Counter()
     for r in rows:
         df.update(r[3].split("\n"))

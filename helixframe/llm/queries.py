@@ -94,7 +94,51 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_secret_scan": op9_secret_scan,
     "op10_quality": op10_quality,
 }
+#: What a conversation is formatted to, counted piece by piece.
+OP2_SQL = r"""
+WITH r AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), o AS (
+  SELECT *, row_number() OVER w AS k, lag(role) OVER w AS before, lead(role) OVER w AS after,
+    length(text) + len(regexp_extract_all(text, '[<\[]\\*/?(s>|INST\]|MSG\]|SEP\])')) AS chars,
+    length(role) + len(regexp_extract_all(role, '[<\[]\\*/?(s>|INST\]|MSG\]|SEP\])')) AS role_chars
+  FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+), g AS (
+  SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+    coalesce(string_agg(text, '' ORDER BY k) FILTER (WHERE role = 'assistant'), '') AS loss,
+    3 + sum(chars + CASE WHEN before IS NULL OR before <> role THEN 6 + role_chars + 5 ELSE 5 END
+      + CASE WHEN after IS NULL OR after <> role THEN CASE WHEN role = 'assistant' THEN 4 ELSE 7 END ELSE 0 END)::BIGINT AS formatted_chars
+  FROM o GROUP BY conv_id
+) SELECT conv_id, n_turns, turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g"""
+
+OP7_SQL = r"""
+WITH dw AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), iw AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL
+), ip AS (
+  SELECT item_id, len(w) AS words, unnest(w) AS word, unnest(range(len(w))) AS p FROM iw
+), ig AS (
+  SELECT item_id, words, p, list(word) OVER (PARTITION BY item_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS l FROM ip
+), win AS (
+  SELECT DISTINCT item_id, least(words, 8) AS n, array_to_string(l, ' ') AS g FROM ig WHERE len(l) = least(words, 8)
+), lens AS (SELECT DISTINCT n FROM win), dp AS (
+  SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS p FROM dw
+), dg AS (
+  SELECT doc_id, p, list(word) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS l FROM dp
+), hit AS (
+  SELECT doc_id, p, lens.n, item_id FROM dg JOIN lens ON len(l) >= lens.n JOIN win ON win.n = lens.n AND win.g = array_to_string(l[1:lens.n], ' ')
+), pos AS (
+  SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM (SELECT DISTINCT doc_id, p, n FROM hit)) GROUP BY 1
+), its AS (
+  SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS names FROM hit GROUP BY 1
+) SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated
+FROM dw d LEFT JOIN pos USING (doc_id) LEFT JOIN its ON d.doc_id = its.doc_id"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op2_chat_format": OP2_SQL,
+    "op7_decontamination": OP7_SQL,
     "op5_line_dedup": OP5_SQL,
     "op8_exact_top_k": """
 WITH v AS (

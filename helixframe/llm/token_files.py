@@ -135,10 +135,12 @@ class TokenFile:
         return self.range(int(self.starts[nth]), int(self.starts[nth] + self.lengths[nth]))
 
 
+#: Files at most; beyond, each holds more documents than ``docs_per_file``.
+MOST_FILES = 1 << 16
 MANIFEST = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("path", T.StringType()), T.StructField("n_docs", T.LongType()), T.StructField("n_ids", T.LongType())])
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", docs_per_file: int = 8192, block_ids: int = 65_536, plain: bool = False) -> DataFrame:
+def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", docs_per_file: int = 8192, block_ids: int = 65_536, plain: bool = True) -> DataFrame:
     """Write the files; returns the manifest (shard, path, n_docs, n_ids), a written table.
 
     Files hold ranges of ids whose bounds are quantiles of all ids, found in a scan of
@@ -148,9 +150,9 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str
     spark = docs.sparkSession
     folder = folder or scratch_path(spark, "tokens")
     _WRITTEN.append(folder)
-    files = max(1, -(-rows_of(docs) // docs_per_file))
+    files = max(1, min(-(-rows_of(docs) // docs_per_file), MOST_FILES))
     marks = [i / files for i in range(1, files)]
-    bounds = docs.agg(F.percentile_approx(id_col, F.array(*map(F.lit, marks)), 100 * files).alias("b")).first()["b"] if marks else []
+    bounds = docs.agg(F.percentile_approx(id_col, F.array(*map(F.lit, marks)), 10 * files + 1000).alias("b")).first()["b"] if marks else []
     bounds = np.array(sorted(set(bounds or [])), np.int64)
     width_of = lambda enc: bits_for(enc.vocab_size)
     encoded = T.StructType([T.StructField(id_col, T.LongType()), T.StructField("shard", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("narrow", T.BinaryType())])

@@ -46,7 +46,7 @@ class ChunkEncoder:
     token; without it the name is ordinary text.
     """
 
-    def __init__(self, path: str, keep: int = 1_600_000, plain: bool = False):
+    def __init__(self, path: str, keep: int = 1_600_000, plain: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core
         from tokenizers import Tokenizer
 
@@ -111,7 +111,7 @@ class ChunkEncoder:
         return b"".join(got)
 
 
-def encoder(path: str, keep: int = 1_600_000, plain: bool = False) -> ChunkEncoder:
+def encoder(path: str, keep: int = 1_600_000, plain: bool = True) -> ChunkEncoder:
     """The worker's own encoder; it and what it has kept serve all tasks of the worker."""
     if (path, keep, plain) not in _LOADED:
         _LOADED[path, keep, plain] = ChunkEncoder(path, keep, plain)

@@ -27,9 +27,7 @@ def odd(spark):
 
 @pytest.fixture(scope="module")
 def library():
-    t = Tokenizer.from_file(queries.TOKENIZER)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(queries.TOKENIZER)
 
 
 @pytest.fixture(scope="module")
@@ -415,3 +413,108 @@ def test_top_k_takes_the_valid_row_of_a_repeated_query(spark):
     df = spark.createDataFrame(rows + [(1, [1.0, 0.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<double>")
     out = topk.exact_top_k(df.where("vec_id in (1, 2)"), df.where("vec_id % 20 = 0"), k=2).collect()
     assert sorted(map(tuple, out)) == sorted(x for i in range(0, 200, 20) for x in [(i, 1, 1, 2048), (i, 2, 2, 1024)])
+
+
+CLASHING = ("n_lines", "n_removed", "sequence_id", "offset", "ends", "firsts", "at", "lines", "fingerprint", "component", "keep", "id", "row", "own", "text_key", "block", "n_words", "spans", "hashes", "name", "start", "length", "part", "kind")
+
+
+def clashing(spark):
+    texts = [None, "", "a b c d e f g h i j", "x\ny\nz\nw", "x\ny\nz\nv", "x\ny\nz\nw", "long " * 40_000]
+    df = spark.createDataFrame([(i if i != 4 else None, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    return df.withColumns({c: F.lit(7) for c in CLASHING})
+
+
+def test_columns_of_any_name_are_no_matter(spark):
+    df = clashing(spark)
+    bench = spark.createDataFrame([(1, "a b c d e f g h"), (1, "a b c d e f g h"), (2, "z w"), (None, "q"), (3, None)], "item_id long, text string").withColumns({c: F.lit(7) for c in CLASHING})
+    labels = spark.createDataFrame([(2, 1, 0), (3, 0, 0), (6, 1, 1), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    lines = line_dedup.dedup_lines(df)
+    assert lines.columns == [c for c in df.columns if c not in ("n_lines", "n_removed")] + ["n_lines", "n_removed"]
+    assert sorted((r["doc_id"], r["n_removed"]) for r in lines.collect() if r["doc_id"] is not None) == [(0, 0), (1, 0), (2, 0), (3, 3), (5, 4), (6, 0)]
+    assert suffix_dedup.remove_repeats(df).count() == 7
+    assert simhash.simhash_components(df).count() == 7 and simhash.near_copies(df).count() == 7
+    hits = {r["doc_id"]: (r["n_words"], r["n_hit"], r["item_ids"]) for r in decontamination.contamination(df, bench).collect()}
+    assert hits[2] == (10, 8, ["1"]) and hits[3] == (4, 2, ["2"]) and hits[0] == (0, 0, []) and hits[6] == (40_000, 0, [])
+    assert secrets.scan(df).count() == 7
+    assert quality.classify(df, labels).count() == 7
+    pieces = packing.tokenized_pieces(df, queries.TOKENIZER, queries.END_ID, 64).withColumns({c: F.lit(7) for c in ("sequence_id", "offset")})
+    packed = packing.pack_best_fit(pieces, 64)
+    assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 64").count() == 0
+    assert token_files.read_token_digests(token_files.write_token_files(df, queries.TOKENIZER, queries.END_ID)).count() == 7
+    chats = df.select(F.lit(1).alias("conv_id"), "doc_id", F.col("doc_id").alias("turn"), F.lit("user").alias("role"), "text", "n_lines", "start")
+    assert chat.format_chats(chats).count() == 1
+
+
+def test_suffix_dedup_splits(spark):
+    """Small slices and buckets, and minimizers that count as hot, change nothing."""
+    rng = np.random.default_rng(9)
+    words = ["".join(rng.choice(list("abcde"), rng.integers(2, 7))) for _ in range(40)]
+    base = [" ".join(rng.choice(words, rng.integers(3, 200))) for _ in range(30)]
+    rows = [(int(i), "".join(b[(a := int(rng.integers(0, len(b)))) : a + 150] for b in rng.choice(base, rng.integers(0, 4)))) for i in range(90)]
+    rows += [(100 + i, f"{i * 7919:09d}LICENSE boilerplate text that everybody has, in all of it{i % 5:07d}") for i in range(40)] + [(200, "a" * 700), (201, "a" * 60), (5, "ab" * 100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    first: dict[bytes, int] = {}
+    for i, t in rows:
+        for k in range(len(t) - 49):
+            first[t[k : k + 50]] = min(first.get(t[k : k + 50], i), i)
+    want = []
+    for i, t in rows:
+        gone = {p for k in range(len(t) - 49) if first[t[k : k + 50]] < i for p in range(k, k + 50)}
+        want.append((i, len(t), len(gone), sum(p - 1 not in gone for p in gone), "".join(c for p, c in enumerate(t) if p not in gone)))
+    for sizes in ({}, {"slice_bytes": 2000, "bucket_bytes": 3000}, {"slice_bytes": 1000, "bucket_bytes": 1500, "hot_slices": 1}):
+        got = [(r[0], r[1], r[2], r[3], bytes(r[5]).decode()) for r in suffix_dedup.remove_repeats(df, **sizes).collect()]
+        assert sorted(got) == sorted(want)
+    for length in (10, 65):
+        with pytest.raises(ValueError):
+            suffix_dedup.remove_repeats(df, length)
+
+
+def test_decontamination_in_blocks_and_salts(spark):
+    rng = np.random.default_rng(2)
+    words = [f"w{i}" for i in range(60)]
+    items = [(i, " ".join(rng.choice(words, rng.integers(1, 30)))) for i in range(60)]
+    docs = [(i, " ".join(np.concatenate([rng.choice(words, 20), items[int(rng.integers(60))][1].split()[3:15], rng.choice(words, 9)]))) for i in range(80)]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = []
+    for i, t in docs:
+        w, hit, found = t.split(), set(), set()
+        for k, item in items:
+            v = item.split()
+            n = min(8, len(v))
+            windows = {tuple(v[a : a + n]) for a in range(len(v) - n + 1)}
+            for a in range(len(w) - n + 1):
+                if tuple(w[a : a + n]) in windows:
+                    hit |= set(range(a, a + n))
+                    found.add(str(k))
+        want.append((i, len(w), len(hit), sorted(found)))
+    for size in ({}, {"block_words": 40, "salt_rows": 7}):
+        got = decontamination.contamination(df, bench, **size).select("doc_id", "n_words", "n_hit", "item_ids").collect()
+        assert sorted(map(tuple, got)) == want
+
+
+def test_quality_by_plain_python(spark):
+    """Host and path posteriors, shrunk step by step in plain Python from the same evidence."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = quality.classify(docs, spark.read.parquet(f"{SF}/labels.parquet")).join(docs.select("doc_id", "source", "lang"), "doc_id").collect()
+    logit = lambda p: math.log(min(max(p, 1e-6), 1 - 1e-6) / (1 - min(max(p, 1e-6), 1 - 1e-6)))
+    for kind in ("low", "toxic"):
+        path_of = lambda r: (r["source"] or "\0", "/".join(x for x in (r["source"], r["lang"]) if x is not None))
+        paths, hosts = defaultdict(list), defaultdict(list)
+        for r in rows:
+            paths[path_of(r)].append(r[f"e_{kind}"]), hosts[path_of(r)[0]].append(r[f"e_{kind}"])
+        overall = sum(r[f"e_{kind}"] for r in rows) / len(rows)
+
+        def strength(groups, prior):
+            chance = [prior(g) * (1 - prior(g)) for g in groups]
+            beyond = sum(len(v) * (sum(v) / len(v) - prior(g)) ** 2 for g, v in groups.items()) - sum(chance)
+            return min(max(max(chance) / max(beyond / sum(map(len, groups.values())), 1e-6), 1.0), 1e6)
+
+        s = strength(hosts, lambda g: overall)
+        host_mean = {g: (sum(v) + s * overall) / (len(v) + s) for g, v in hosts.items()}
+        s = strength(paths, lambda g: host_mean[g[0]])
+        path_mean = {g: (sum(v) + s * host_mean[g[0]]) / (len(v) + s) for g, v in paths.items()}
+        for r in rows:
+            prior = path_mean[path_of(r)]
+            odds = logit(r[f"e_{kind}"]) + logit(prior) - logit(overall)
+            assert r[f"prior_{kind}"] == pytest.approx(prior, rel=1e-9) and r[f"p_{kind}"] == pytest.approx(1 / (1 + math.exp(-odds)), rel=1e-6)
+    assert all(r["keep"] == (r["p_low"] < 0.5 and r["p_toxic"] < 0.5) for r in rows)
