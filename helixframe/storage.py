@@ -15,11 +15,13 @@ _WRITTEN: list[str] = []
 def scratch_root(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
 
-    Only a session in which the setting is missing (a local test) gets a temporary
-    folder of its own.
+    Only a local session in which the setting is missing (a test) gets a temporary folder
+    of its own; on a cluster other machines would not see it.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = _OWN.setdefault("root", "file://" + tempfile.mkdtemp(prefix="helixframe-"))
     return f"{base.rstrip('/')}/helixframe-{spark.sparkContext.applicationId}"
 
