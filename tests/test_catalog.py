@@ -6,6 +6,7 @@ import duckdb
 import pytest
 from conftest import SF, rounded
 
+from helixframe import catalog_functions  # noqa: F401
 from helixframe.catalog import QUERIES, SQL
 
 
