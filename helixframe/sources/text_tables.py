@@ -175,7 +175,7 @@ def read_metric_csv(spark: SparkSession, path: str) -> DataFrame:
 def json_histograms(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     """(key, bin, n) of the arrays that a statistics JSON has under ``keys``."""
     schema = T.StructType([T.StructField(k, T.ArrayType(T.DoubleType())) for k in keys])
-    doc = spark.read.option("wholetext", True).text(path).select(F.from_json("value", schema).alias("d"))
+    doc = spark.read.text(path, wholetext=True).select(F.from_json("value", schema).alias("d"))
     parts = [doc.select(F.lit(k).alias("key"), F.posexplode(F.col("d")[k]).alias("bin", "n")) for k in keys]
     out = parts[0]
     for p in parts[1:]:
@@ -186,7 +186,7 @@ def json_histograms(spark: SparkSession, path: str, keys: list[str]) -> DataFram
 def sectioned_log(spark: SparkSession, path: str, sep: str = r"\|") -> DataFrame:
     """(line, section, name, value) of a key/value log whose headings have no separator. One
     log is one file of bounded length, so its lines are ordered in one task."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", "\n")).alias("line", "text"))
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("line", "text"))
     p = F.split("text", sep)
     rows = lines.where("trim(text) <> ''").select("line", F.trim(F.get(p, F.lit(0))).alias("a"), F.trim(F.get(p, F.lit(1))).alias("b"))
     w = Window.orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
