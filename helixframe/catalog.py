@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import dna, encoders, genotype, numeric
-from .operators import calls, folds, intervals, merge, metrics, ordered, reshape, rules
+from .operators import calls, folds, intervals, merge, metrics, ordered, relational, reshape, rules
 from .plans import assay, cohort, flow, recalibration, signal
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,7 +107,8 @@ def list_text_aggregate(spark, d):
 
 @query("list_expand", "SELECT vec_id, embedding[1] AS e_0, embedding[2] AS e_1, embedding[3] AS e_2 FROM embeddings")
 def list_expand(spark, d):
-    return t(spark, d, "embeddings").select("vec_id", *[F.get("embedding", F.lit(i)).alias(f"e_{i}") for i in range(3)])
+    rows = t(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("e"))
+    return reshape.expand_list(rows, "e", 3).drop("e")
 
 
 @query("ragged_explode", """
@@ -141,12 +142,12 @@ def multi_sample_full_join(spark, d):
 
 @query("semi_join_loci", "SELECT o_orderpriority, count(*) AS n FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R') GROUP BY 1")
 def semi_join_loci(spark, d):
-    return t(spark, d, "orders").join(t(spark, d, "lineitem").where("l_returnflag = 'R'"), F.col("o_orderkey") == F.col("l_orderkey"), "left_semi").groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
+    return relational.with_match(t(spark, d, "orders"), t(spark, d, "lineitem").where("l_returnflag = 'R'"), {"o_orderkey": "l_orderkey"}).groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("anti_join_missing", "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
 def anti_join_missing(spark, d):
-    return t(spark, d, "customer").join(t(spark, d, "orders"), F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey", "c_name")
+    return relational.without_match(t(spark, d, "customer"), t(spark, d, "orders"), {"c_custkey": "o_custkey"}).select("c_custkey", "c_name")
 
 
 @query("blacklist_annotate", """

@@ -11,16 +11,6 @@ from .sources import records, text_tables
 from .storage import scratch_path
 
 
-@query("semi_join", "SELECT o_orderpriority, count(*) AS n FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R') GROUP BY 1")
-def semi_join(spark, d):
-    return relational.with_match(t(spark, d, "orders"), t(spark, d, "lineitem").where("l_returnflag = 'R'"), {"o_orderkey": "l_orderkey"}).groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("anti_join", "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
-def anti_join(spark, d):
-    return relational.without_match(t(spark, d, "customer"), t(spark, d, "orders"), {"c_custkey": "o_custkey"}).select("c_custkey", "c_name")
-
-
 @query("small_cross", "SELECT n_nationkey, k FROM nation, (VALUES (0), (1), (2)) v(k)")
 def small_cross(spark, d):
     return relational.with_each(t(spark, d, "nation").select("n_nationkey"), [0, 1, 2], "k")

@@ -90,3 +90,32 @@ def training_rows(df: DataFrame, label: bool, ref: str = "ref", alt: str = "alt"
     kept = df.crossJoin(F.broadcast(top)).where(F.col(distance) != F.col("__top")).drop("__top")
     changed = {ref: F.col(alt), distance: F.col(distance) + 1, hmer_ref: F.col(hmer_alt), hmer_alt: F.col(hmer_ref), "label": F.lit(True)}
     return kept.withColumns(changed).drop(alt)
+
+
+def scored_above(df: DataFrame, score: str, share: float = 0.1, filters: str = "filter") -> DataFrame:
+    """Passing rows with ``above``: whether their score (1 where it is missing) is over the ``share`` quantile."""
+    kept = df.where(F.contains(F.col(filters), F.lit("PASS"))).withColumn("__s", F.coalesce(F.col(score).cast("double"), F.lit(1.0)))
+    cut = kept.agg(F.percentile("__s", F.lit(share)).alias("__cut"))
+    return kept.join(F.broadcast(cut), how="cross").withColumn("above", F.col("__s") > F.col("__cut")).drop("__s", "__cut")  # one row
+
+
+def as_track(df: DataFrame, name: str, shown: Column, black: Column | None = None) -> DataFrame:
+    """Calls as a track: chrom, start, end, name, colour (blue, grey where not ``shown``, black on a blacklist)."""
+    colour = F.when(shown, "0,0,255").otherwise("121,121,121")
+    return df.select("chrom", (F.col("pos") - 1).alias("start"), F.col("pos").alias("end"), F.col(name).alias("name"), (colour if black is None else F.when(black, "0,0,0").otherwise(colour)).alias("colour"))
+
+
+def source_set(sources: Column) -> Column:
+    """All sources of a group's calls (arrays; null and empty ones don't count), sorted, once each."""
+    return F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.filter(sources, lambda s: s != "")))))
+
+
+def supported(length: Column, sources: Column, most: int, own: str) -> Column:
+    """Events up to ``most`` long, and longer ones that some source other than ``own`` has too."""
+    return (F.abs(length) <= most) | F.coalesce(F.exists(sources, lambda s: s != own), F.lit(False))
+
+
+def category_counts(df: DataFrame, classified: str) -> DataFrame:
+    """(category, n): tp as dbsnp, unknown, fp as blacklist; zero where there is none."""
+    one = lambda value: F.coalesce(F.sum((F.col(classified) == value).cast("long")), F.lit(0))
+    return df.agg(*[one(v).alias(n) for n, v in (("dbsnp", "tp"), ("unknown", "unknown"), ("blacklist", "fp"))]).unpivot([], ["dbsnp", "unknown", "blacklist"], "category", "n")

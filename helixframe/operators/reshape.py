@@ -57,7 +57,10 @@ def array_stats(df: DataFrame, array: str, name: str) -> DataFrame:
 
 
 def expand_list(df: DataFrame, column: str, size: int, sep: str = ",") -> DataFrame:
-    """The first ``size`` places of a list as columns ``column_0``..; null where it ends."""
+    """The first ``size`` places of a list (an array, or a text split at ``sep``) as columns
+    ``column_0``..; null where it ends."""
+    if df.schema[column].dataType.typeName() == "array":
+        return df.withColumns({f"{column}_{i}": F.get(column, F.lit(i)) for i in range(size)})
     parts = F.split(F.coalesce(F.col(column), F.lit("")), sep)
     return df.withColumns({f"{column}_{i}": missing(F.get(parts, F.lit(i))) for i in range(size)})
 

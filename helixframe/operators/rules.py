@@ -170,12 +170,12 @@ def funnel(df: DataFrame, rules: list[dict], downsample: dict | None = None) ->
 
 def patterns(df: DataFrame, rules: list[dict], most: int = 20) -> DataFrame:
     """(pattern, rows): how many rows pass (1) and fail (0) the rules in each combination,
-    with zero for those that do not occur. Null counts as failing. Nothing for over
-    ``most`` rules, whose combinations would be too many to list."""
-    if len(rules) > most:
-        return df.sparkSession.createDataFrame([], "pattern string, rows long")
+    with zero for those that do not occur. Null counts as failing. Of over ``most`` rules,
+    whose combinations would be too many to list, only those that occur."""
     key = F.concat(*[F.when(mask(r), "1").otherwise("0") for r in rules])
     found = df.groupBy(key.alias("pattern")).agg(F.count(F.lit(1)).alias("n"))
+    if len(rules) > most:
+        return found.withColumnRenamed("n", "rows")
     every = df.sparkSession.range(2 ** len(rules)).select(F.lpad(F.bin("id"), len(rules), "0").alias("pattern"))
     return every.join(found, "pattern", "left").select("pattern", F.coalesce("n", F.lit(0)).alias("rows"))
 
@@ -239,3 +239,25 @@ def usable_queries(df: DataFrame, queries: list[str]) -> list[str]:
         except Exception:
             continue
     return out
+
+
+def rows_before(steps: list[dict], name: str | None = None, type: str | None = None) -> int:
+    """Rows left before the first step of a name or type; ``raw`` is the first step itself. ``steps``
+    are a funnel's rows in order, one for each rule."""
+    key, wanted = ("name", name) if name is not None else ("type", type)
+    if wanted == "raw":
+        if "raw" not in (steps[0].get("type"), steps[0].get("name")):
+            raise ValueError("the first step is not raw")
+        return steps[0]["rows"]
+    at = next((i for i, s in enumerate(steps) if s.get(key) == wanted), None)
+    if not at:
+        raise ValueError(f"no step before {key} {wanted}")
+    return steps[at - 1]["rows"]
+
+
+def row_ratio(steps: list[dict], top: dict, bottom: dict) -> float:
+    """Rows before one step over rows before another (arguments of ``rows_before``)."""
+    below = rows_before(steps, **bottom)
+    if below == 0:
+        raise ValueError("no rows to divide by")
+    return rows_before(steps, **top) / below

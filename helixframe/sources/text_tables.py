@@ -131,7 +131,7 @@ def read_sam(spark: SparkSession, path: str) -> DataFrame:
     """Alignments with ``pos`` from 0 and tags as a map of text."""
     p = F.split("value", "\t")
     lines = spark.read.text(path).where(~F.col("value").startswith("@") & (F.col("value") != ""))
-    tags = F.map_from_entries(F.transform(F.slice(p, 12, 1000), lambda x: F.struct(F.substring(x, 1, 2), F.regexp_extract(x, "^[^:]+:[^:]+:(.*)$", 1))))
+    tags = F.map_from_entries(F.transform(F.slice(p, F.lit(12), F.greatest(F.size(p) - 11, F.lit(0))), lambda x: F.struct(F.substring(x, 1, 2), F.regexp_extract(x, "^[^:]+:[^:]+:(.*)$", 1))))
     ints = {"flag", "pos", "mapq", "pnext", "tlen"}
     cols = [F.get(p, F.lit(i)).cast("int" if n in ints else "string").alias(n) for i, n in enumerate(SAM)]
     return lines.select(*cols, tags.alias("tags")).withColumn("pos", F.col("pos") - 1)

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 from conftest import SF, rounded
 
-from helixframe import catalog_functions, catalog_plans  # noqa: F401
+from helixframe import catalog_assay, catalog_functions, catalog_plans  # noqa: F401
 from helixframe.catalog import QUERIES, SQL
 
 
