@@ -188,7 +188,7 @@ def sectioned_log(spark: SparkSession, path: str, sep: str = r"\|") -> DataFrame
     log is one file of bounded length, so its lines are ordered in one task."""
     lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("line", "text"))
     p = F.split("text", sep)
-    rows = lines.where("trim(text) <> ''").select("line", F.trim(F.get(p, F.lit(0))).alias("a"), F.trim(F.get(p, F.lit(1))).alias("b"))
+    rows = lines.where("trim(text) <> ''").select("line", F.trim(F.get(p, F.lit(0)), F.lit(" \t\r")).alias("a"), F.trim(F.get(p, F.lit(1)), F.lit(" \t\r")).alias("b"))
     w = Window.orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumn("section", F.last(F.when(F.col("b").isNull() | (F.col("b") == ""), F.regexp_replace("a", ":$", "")), ignorenulls=True).over(w)).where("b <> ''").select("line", "section", F.col("a").alias("name"), F.col("b").alias("value"))
 
