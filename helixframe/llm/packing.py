@@ -121,7 +121,8 @@ def pack_best_fit(pieces: DataFrame, capacity: int, length_col: str = "length",
 
     ``pieces`` is read twice, so it should be a written table. Ranks within a length come
     from the counts of hashed blocks and a rank within the block, so that a length that
-    most pieces share (the full ones) is spread like any other.
+    most pieces share (the full ones) is spread like any other. The counts grow with the
+    pieces, so they are joined by the partitioning that ranking needs, not broadcast.
     """
     spark = pieces.sparkSession
     pieces = pieces.select(*[F.col(f"`{c}`") for c in pieces.columns if c not in ("sequence_id", "offset")])
@@ -137,7 +138,7 @@ def pack_best_fit(pieces: DataFrame, capacity: int, length_col: str = "length",
     within = Window.partitionBy(length_col, "__block").orderBy(*[F.col(c) for c, t in pieces.dtypes if not t.startswith("map")])
     ranked = (
         keyed.withColumn("__row", F.row_number().over(within))
-        .join(before, (F.col(length_col) == F.col("__length")) & (F.col("__block") == F.col("__in")))
+        .join(before.hint("merge"), (F.col(length_col) == F.col("__length")) & (F.col("__block") == F.col("__in")))
         .withColumn("__rank", F.coalesce("__before", F.lit(0)) + F.col("__row") - 1)
         .select(*own, "__rank")
     )
