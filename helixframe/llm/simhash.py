@@ -109,6 +109,15 @@ class _Groups:
         self.parent[max(x, y)] = min(x, y)
         return True
 
+    def joined(self, left: np.ndarray, left_nodes: np.ndarray, right: np.ndarray, right_nodes: np.ndarray, radius: int) -> list[tuple[int, int]]:
+        """Links that join groups of two tiles; a pair of tiles in one group is dropped."""
+        roots = [np.array([self.root(int(x)) for x in nodes]) for nodes in (left_nodes, right_nodes)]
+        if (roots[0] == roots[0][0]).all() and (roots[1] == roots[0][0]).all():
+            return []
+        i, j = _close(left, right, radius)
+        pairs = np.stack([roots[0][i], roots[1][j]], axis=1)[roots[0][i] != roots[1][j]]
+        return [(x, y) for x, y in np.unique(pairs, axis=0).tolist() if self.join(x, y)]
+
 
 def _close(left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs of rows of ``left`` and ``right`` (words a column) within the radius."""
@@ -143,17 +152,11 @@ def tiled_links(keyed: DataFrame, radius: int, words: int = 1) -> DataFrame:
                     key, tiles, groups = keys[a], [], _Groups()
                 elif b - a == 1 and not tiles:
                     continue
-                own, own_nodes = rows[a:b], nodes[a:b]
+                own = (rows[a:b], nodes[a:b], ones[b - 1])
                 tiles = [t for t in tiles if t[2] >= ones[a] - radius]  # what follows has as many ones or more
-                if b - a > 1:
-                    for i, j in zip(*_close(own, own, radius)):
-                        if i < j and groups.join(int(own_nodes[i]), int(own_nodes[j])):
-                            out.append((int(own_nodes[i]), int(own_nodes[j])))
-                for left, left_nodes, _ in tiles:
-                    for i, j in zip(*_close(left, own, radius)):
-                        if groups.join(int(left_nodes[i]), int(own_nodes[j])):
-                            out.append((int(left_nodes[i]), int(own_nodes[j])))
-                tiles.append((own, own_nodes, ones[b - 1]))
+                tiles.append(own)
+                for left, left_nodes, _ in tiles if b - a > 1 else tiles[:-1]:
+                    out += groups.joined(left, left_nodes, own[0], own[1], radius)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names=schema.names)
 
@@ -188,6 +191,8 @@ WORDS, RADIUS = 4, 80
 #: Keys of a text and the least hashes in each: two texts of similarity 0.8 share none of
 #: the keys once in a million.
 BANDS, ROWS = 20, 3
+#: Nodes of a component of candidates that a task takes together, besides the first ones.
+BLOCK = 512
 #: Bytes of shingle sets that a task holds in memory; more of them lie in a file.
 HELD = 64 << 20
 
@@ -265,11 +270,12 @@ def _alike(sets: _Sets, sizes: np.ndarray, i: int, others: np.ndarray, least: fl
     return both >= least * (sizes[i] + sizes[others] - both) - 1e-9
 
 
-def group_links(nodes: np.ndarray, rows: np.ndarray, sets: _Sets, radius: int, least: float) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs within ``radius`` bits whose sets are ``least`` alike."""
+def group_links(nodes: np.ndarray, rows: np.ndarray, sets: _Sets, radius: int, least: float, labels: np.ndarray) -> list[tuple[int, int]]:
+    """Of the pairs within ``radius`` bits whose sets are ``least`` alike, as many as join
+    what they can; nodes of one of the ``labels`` are joined already."""
     sizes = sets.sizes()
     order = np.argsort(sizes, kind="stable")
-    group = np.arange(len(nodes))
+    group = np.unique(labels, return_inverse=True)[1]
     out: list[tuple[int, int]] = []
     for a in range(0, len(order), TILE):
         left = order[a : a + TILE]
@@ -277,6 +283,8 @@ def group_links(nodes: np.ndarray, rows: np.ndarray, sets: _Sets, radius: int, l
             right = order[b : b + TILE]
             if sizes[left[-1]] < least * sizes[right[0]] - 1e-9:
                 break  # what follows is larger still
+            if (group[left] == group[left[0]]).all() and (group[right] == group[left[0]]).all():
+                continue
             at, to = _close(rows[left], rows[right], radius)
             cuts = np.searchsorted(at, np.arange(len(left) + 1))
             for k, i in enumerate(left):
@@ -293,46 +301,81 @@ def group_links(nodes: np.ndarray, rows: np.ndarray, sets: _Sets, radius: int, l
     return out
 
 
-def alike_links(docs: DataFrame, near: DataFrame, shingle_words: int, radius: int, least: float, text_col: str = "text") -> DataFrame:
-    """Links (a, b) between nodes of one component of candidates, after a check of their
-    shingle sets. ``near``: text_key, component, node, fingerprint."""
-    found = docs.select(text_key(text_col).alias("text_key"), text_col).join(near, "text_key").select("component", "node", "fingerprint", text_col)
-    kinds = [("component", T.LongType()), ("node", T.LongType()), ("fingerprint", T.BinaryType()), ("grams", T.BinaryType())]
-    schema = T.StructType([T.StructField(*f) for f in kinds])
+def compared(docs: DataFrame, members: DataFrame, shingle_words: int, radius: int, least: float, text_col: str = "text") -> DataFrame:
+    """Links (a, b) between nodes of one part, after a check of their shingle sets, as far as
+    they join two labels. ``members``: text_key, node, fingerprint, label, parts (array)."""
+    found = docs.select(text_key(text_col).alias("text_key"), text_col).join(members, "text_key").select("node", "fingerprint", "label", "parts", text_col)
+    schema = T.StructType([*found.schema.fields[:-1], T.StructField("grams", T.BinaryType())])
     links = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
     def with_sets(batches):
         seen: set[int] = set()  # a text that occurs often goes once from each task
         for batch in in_slices(batches):
             fresh = []
-            for i, node in enumerate(batch.column(1).to_pylist()):
+            for i, node in enumerate(batch.column(0).to_pylist()):
                 if node not in seen:
                     seen.add(node)
                     fresh.append(i)
             batch = batch.take(pa.array(fresh, pa.int64()))
-            grams = [shingle_set(text, shingle_words).tobytes() for text in batch.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(grams, pa.binary())], names=schema.names)
+            grams = [shingle_set(text, shingle_words).tobytes() for text in batch.column(4).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(grams, pa.binary())], names=schema.names)
 
     def run(batches):
-        key, nodes, prints, sets = None, [], [], _Sets()
+        key, nodes, prints, labels, sets = None, [], [], [], _Sets()
 
         def done():
             if len(nodes) > 1:
                 rows = np.frombuffer(b"".join(prints), ">u8").reshape(len(prints), -1).astype(np.uint64)
-                out = group_links(np.array(nodes), rows, sets, radius, least)
+                out = group_links(np.array(nodes), rows, sets, radius, least, np.array(labels))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names=links.names)
 
         for batch in in_slices(batches):
-            for component, node, fingerprint, grams in zip(*[c.to_pylist() for c in batch.columns]):
-                if component != key:
+            for part, node, fingerprint, label, grams in zip(*[c.to_pylist() for c in batch.columns]):
+                if part != key:
                     yield from done()
-                    key, nodes, prints, sets = component, [], [], _Sets()
+                    key, nodes, prints, labels, sets = part, [], [], [], _Sets()
                 if not nodes or nodes[-1] != node:
-                    nodes.append(node), prints.append(fingerprint), sets.add(grams)
+                    nodes.append(node), prints.append(fingerprint), labels.append(label), sets.add(grams)
         yield from done()
 
-    return found.mapInArrow(with_sets, schema).repartition("component").sortWithinPartitions("component", "node").mapInArrow(run, links)
+    dealt = found.mapInArrow(with_sets, schema).select(F.explode("parts").alias("part"), "node", "fingerprint", "label", "grams")
+    return dealt.repartition("part").sortWithinPartitions("part", "node").mapInArrow(run, links)
+
+
+def alike_links(docs: DataFrame, near: DataFrame, shingle_words: int, radius: int, least: float, text_col: str = "text", block: int = BLOCK, tile: int = TILE) -> DataFrame:
+    """Links (a, b) that join what is alike in one component of candidates, after a check of
+    the shingle sets. ``near``: text_key, component, node, fingerprint.
+
+    A component is dealt out in blocks of about ``block`` nodes; each meets itself and the
+    first block, so that the rows grow with the nodes. Where that leaves more than one
+    group, the nodes outside of the largest one meet all others, in pairs of tiles.
+    """
+    part = lambda *at: F.xxhash64("component", *at)
+    in_tile = lambda n, size: F.pmod(F.xxhash64("node", F.lit(size)), F.ceil(F.col(n) / size))
+    until = lambda n, of: F.transform(F.sequence(F.lit(0).cast("long"), F.ceil(F.col(n) / tile) - 1), of)
+    sizes = near.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    dealt = near.join(sizes, "component").withColumn("blocks", F.ceil(F.col("n") / block)).withColumn("at", in_tile("n", block))
+    first = F.when(F.col("at") > 0, F.array(part("at"))).when(F.col("blocks") == 1, F.array(part(F.lit(1).cast("long"))))
+    parts = F.coalesce(first, F.transform(F.sequence(F.lit(1).cast("long"), F.greatest("blocks", F.lit(2)) - 1), lambda i: part(i)))
+    found = written(compared(docs, dealt.select("text_key", "node", "fingerprint", F.col("node").alias("label"), parts.alias("parts")), shingle_words, radius, least, text_col), "links")
+    crowded = dealt.where("blocks > 1").drop("n", "blocks", "at")
+    if crowded.isEmpty():
+        return found
+    labels = components(found).toDF("node", "label")
+    state = written(crowded.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "labels")
+    groups = state.groupBy("component", "label").agg(F.count(F.lit(1)).alias("n"))
+    apart = groups.groupBy("component").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("most"), (F.sum("n") - F.max("n")).alias("rest")).where("rest > 0")
+    apart = written(apart, "apart")
+    if apart.isEmpty():
+        return found
+    inside = F.col("label") == F.col("main")
+    left = state.join(apart, "component").withColumn("at", F.when(inside, in_tile("most", tile)).otherwise(in_tile("rest", tile)))
+    with_main = lambda i, m: part(F.lit("main"), i, m)
+    rest = F.filter(until("rest", lambda j: F.when(j != F.col("at"), part(F.least("at", j), F.greatest("at", j)))), lambda p: p.isNotNull())
+    parts = F.when(inside, until("rest", lambda i: with_main(i, F.col("at")))).otherwise(F.concat(rest, until("most", lambda m: with_main(F.col("at"), m))))
+    more = compared(docs, left.select("text_key", "node", "fingerprint", "label", parts.alias("parts")), shingle_words, radius, least, text_col)
+    return found.union(more)
 
 
 def near_copies(docs: DataFrame, shingle_words: int = 5, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY, carried: tuple[str, ...] = ()) -> DataFrame:

@@ -230,6 +230,46 @@ def test_near_copies(spark):
     assert got == truth
 
 
+def test_crowded_components_lose_no_link(spark):
+    """Blocks and tile pairs far smaller than a component give what a comparison of all gives."""
+    rng = np.random.default_rng(14)
+    texts = ["", "a b"]
+    for _ in range(4):
+        words = [f"w{x}" for x in rng.integers(0, 10**6, 60)]
+        for c in rng.integers(0, 12, 14):
+            copy = list(words)
+            copy[:c] = [f"v{x}" for x in rng.integers(0, 10**6, c)]
+            texts.append(" ".join(copy[: len(copy) - int(rng.integers(0, 6))]))
+    sets = [set(simhash.shingles(t, 5)) for t in texts]
+    truth = brute_groups(dict(enumerate(sets)), lambda a, b: len(a & b) >= 0.8 * max(1, len(a | b)))
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], DOCS)
+    marked = simhash.wide_fingerprints(docs).withColumnRenamed("doc_id", "node")
+    near = marked.select("text_key", F.lit(0).cast("long").alias("component"), "node", "fingerprint")
+    assert 4 < len(set(truth.values())) < len(texts) - 8
+    for block, tile in ((512, 2048), (4, 2), (9, 5)):
+        found = components.components(simhash.alike_links(docs, near, 5, 256, 0.8, block=block, tile=tile))
+        up = {r["node"]: r["component"] for r in found.collect()}
+        assert {i: up.get(i, i) for i in truth} == truth
+
+
+def test_hot_key_in_tiles(spark):
+    """A key with several tiles of fingerprints: one group is joined, the others stay apart."""
+    rng = np.random.default_rng(15)
+    prints = {0}
+    while len(prints) < 4500:  # within two bits of one that is there
+        prints.add(int(sum(1 << int(b) for b in rng.choice(40, 2, replace=False))) | (int(rng.integers(0, 8)) << 60))
+        prints.add(int(rng.integers(0, 2**63)))
+    nodes = np.array(sorted(prints), np.uint64)
+    df = spark.createDataFrame([(1, i, bytearray(int(x).to_bytes(8, "big"))) for i, x in enumerate(nodes)], "key long, node long, fingerprint binary")
+    up = {r["node"]: r["component"] for r in components.components(simhash.tiled_links(df, 2)).collect()}
+    group = np.arange(len(nodes))
+    for i in range(len(nodes)):
+        for g in np.unique(group[np.bitwise_count(nodes ^ nodes[i]) <= 2]):
+            group[group == g] = group[i]
+    truth = {i: int(np.flatnonzero(group == group[i])[0]) for i in range(len(nodes))}
+    assert {i: up.get(i, i) for i in truth} == truth
+
+
 def test_line_dedup(spark, duck):
     got = sorted(map(tuple, queries.op5_line_dedup(spark, SF).collect()))
     assert got == sorted(duck.sql(queries.OP5_SQL).fetchall())
