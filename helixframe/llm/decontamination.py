@@ -37,7 +37,7 @@ _WORD = frozenset([*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)])
 _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b in _WORD else 0x20 for b in range(256))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Bits of the map of item fingerprints, and of one of its pages; words that a worker keeps.
-BITS, PAGE, KEPT_WORDS = 1 << 26, 1 << 15, 1 << 20
+BITS, PAGE, KEPT_WORDS = 1 << 26, 1 << 15, 1 << 18
 
 
 def words_of(text: str | None) -> list[bytes]:

@@ -89,17 +89,17 @@ def best_fit_runs(counts: dict[int, int], capacity: int) -> tuple[list[tuple], i
     return runs, bins
 
 
-def tokenized_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text", plain: bool = True) -> DataFrame:
+def tokenized_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text", plain: bool = True, keep: int = 1_600_000) -> DataFrame:
     """Token ids of each text and the end id, cut into pieces of at most ``capacity``.
 
     All pieces of a longer document but its first hold ``capacity`` ids. Columns: the id,
-    piece, start, length, ids (little-endian unsigned 32-bit). ``plain``: see ``ChunkEncoder``.
+    piece, start, length, ids (little-endian unsigned 32-bit). ``plain`` and ``keep``: see ``ChunkEncoder``.
     """
     kind = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField(id_col, kind), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids", T.BinaryType())])
 
     def cut(batches):
-        enc, end = encoder(tokenizer, plain=plain), np.array([end_id], "<u4").tobytes()
+        enc, end = encoder(tokenizer, keep, plain), np.array([end_id], "<u4").tobytes()
         for batch in in_slices(batches):
             rows, piece, start, length, ids = [], [], [], [], []
             for row, text in enumerate(batch.column(1).to_pylist()):
