@@ -14,6 +14,9 @@ from helixframe.llm import decontamination, line_dedup, packing, quality, simhas
 from helixframe.llm.queries import END_ID, SEQUENCE, TOKENIZER
 from helixframe.llm.shared import row_key, tables, written
 
+#: Encoded parts that a worker keeps; it holds what the stages before packing left as well.
+KEPT_PARTS = 400_000
+
 
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("__row", row_key(docs))
@@ -49,7 +52,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The places of all pieces of all documents in the training sequences."""
-    pieces = packing.tokenized_pieces(docs, TOKENIZER, END_ID, SEQUENCE, plain=True)
+    pieces = packing.tokenized_pieces(docs, TOKENIZER, END_ID, SEQUENCE, plain=True, keep=KEPT_PARTS)
     digests = written(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), "pipeline-pieces")
     return packing.pack_best_fit(digests, SEQUENCE)
 
