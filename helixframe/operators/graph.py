@@ -8,13 +8,22 @@ from pyspark.sql import functions as F
 from ..storage import written
 
 
+def edge_table(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """The distinct edges (a, b) between two nodes, a the greater one, as a written table."""
+    return written(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct(), "edges")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, component) for each node with an edge to another; component is its least node.
+    """(node, component) for each node with an edge to another; component is its least node."""
+    return star_steps(edge_table(edges, a, b))
+
+
+def star_steps(now: DataFrame) -> DataFrame:
+    """The components of an edge table.
 
     Large-star and small-star steps alternate until the edges stay the same; each step is
     written, so neither plans nor lineage grow, and the driver sees two numbers a step.
     """
-    now = written(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct(), "edges")
     before = None
     while True:
         both = now.union(now.select("b", "a")).toDF("n", "m")

@@ -558,3 +558,28 @@ def test_quality_by_plain_python(spark):
             odds = logit(r[f"e_{kind}"]) + logit(prior) - logit(overall)
             assert r[f"prior_{kind}"] == pytest.approx(prior, rel=1e-9) and r[f"p_{kind}"] == pytest.approx(1 / (1 + math.exp(-odds)), rel=1e-6)
     assert all(r["keep"] == (r["p_low"] < 0.5 and r["p_toxic"] < 0.5) for r in rows)
+
+
+def test_few_links_are_joined_in_few_jobs(spark):
+    rng = np.random.default_rng(3)
+    chain = [(i, i + 1) for i in range(300)]
+    pairs = chain + [(int(x), int(y)) for x, y in rng.integers(1000, 3000, (1500, 2))] + [(5, 5), (-7, 4000)]
+    df = spark.createDataFrame([pairs[i] for i in rng.permutation(len(pairs))], "a long, b long").repartition(4)
+    spark.sparkContext.setJobGroup("few-links", "few links")
+    got = dict(components.components(df).collect())
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("few-links"))
+    spark.sparkContext.setJobGroup("other", "other")
+    parent = {}
+    for x, y in pairs:
+        x, y = sorted((_top(parent, x), _top(parent, y)))
+        parent[y] = x
+    want = {n: _top(parent, n) for p in pairs if p[0] != p[1] for n in p}
+    assert got == want and 0 < jobs < 8
+    assert dict(components.components(df, in_task=0).collect()) == want
+    assert components.components(df.limit(0)).count() == 0
+
+
+def _top(parent, x):
+    while parent.setdefault(x, x) != x:
+        x = parent[x]
+    return x
