@@ -10,8 +10,9 @@ A query goes through a block's segments of all dimensions in descending impact,
 ``ROUNDS`` equal shares of the postings one after the other, and adds impacts to its
 candidates' accumulators. What a candidate has not met yet can add no more than the impact
 reached, dimension by dimension; candidates that can't reach the k-th best score known for
-the query are out. The block ends early only when few or none are left; these, and at the
-end those whose quantised score may lie among the best, are rescored exactly.
+the query are out. The block ends early once those left hold no more components than there
+are postings to come; these, and at the end those whose quantised score may lie among the
+best, are rescored exactly.
 
 Queries form blocks too. Each task takes one block of queries and a group of index blocks,
 by shuffle; neither queries nor candidates pass through the driver. A task holds one block
@@ -69,7 +70,10 @@ class Best:
         self.ids = np.full((queries, k), _LAST)
 
     def merge(self, row: int, scores: np.ndarray, ids: np.ndarray) -> None:
-        s, i = np.append(self.scores[row], scores), np.append(self.ids[row], ids)
+        able = scores >= self.scores[row, -1]
+        if np.count_nonzero(able) > self.k:
+            able &= scores >= np.partition(scores, len(scores) - self.k)[len(scores) - self.k]
+        s, i = np.append(self.scores[row], scores[able]), np.append(self.ids[row], ids[able])
         order = np.lexsort((i, -s))[: self.k]
         self.scores[row], self.ids[row] = s[order], i[order]
 
@@ -115,17 +119,19 @@ class IndexBlock:
         kept = np.zeros(n)
         a = 0
         for b in cuts.tolist():
-            taken = order[a:b]
+            taken = np.sort(order[a:b])  # a dimension's segments by value, and so by impact, are neighbours
             counts = self.count[taken]
-            at = np.arange(int(counts.sum())) + np.repeat(self.start[taken] - (np.cumsum(counts) - counts), counts)
-            kept += np.bincount(self.postings[at], np.repeat(impact[taken] * _UNIT + 1, counts), n)
+            gaps = np.flatnonzero(np.diff(taken) > 1)
+            runs = zip(self.start[taken[np.append(0, gaps + 1)]].tolist(), (self.start + self.count)[taken[np.append(gaps, -1)]].tolist())
+            met = np.concatenate([self.postings[x:y] for x, y in runs])
+            kept += np.bincount(met, np.repeat(impact[taken] * _UNIT + 1, counts), n)
             a = b
             score = np.floor(kept / _UNIT)
             if b < len(order) and known > _NONE:
                 # What has not been met adds no more than the impact that comes next.
                 may = score + floor + impact[order[b]] * (dims - (kept - score * _UNIT)) >= known
                 left = int(np.count_nonzero(may))
-                if left <= n // 64:
+                if left * dims <= n * dims - done[b - 1]:
                     return self._rescore(best, row, q_id, q, np.flatnonzero(may))
         score = np.where(self.ids == q_id, -math.inf, score + floor)
         sure = np.partition(score, n - best.k)[n - best.k] - slack if n > best.k else -math.inf

@@ -583,3 +583,31 @@ def _top(parent, x):
     while parent.setdefault(x, x) != x:
         x = parent[x]
     return x
+
+
+def test_top_k_leaves_postings_once_rescoring_is_less_work(monkeypatch):
+    rng = np.random.default_rng(5)
+    vectors = rng.normal(size=(4000, 32))
+    vectors = np.floor(64 * vectors / np.linalg.norm(vectors, axis=1)[:, None]).astype(np.int64)
+    ids, rescored, met = np.arange(4000), [], []
+    blocks = [topk.IndexBlock(ids[i::2], vectors[i::2]) for i in range(2)]
+    best = topk.Best(20, 10)
+    for q in range(20):
+        blocks[0].search(best, q, q, vectors[q])
+    rescore, bincount = topk.IndexBlock._rescore, np.bincount
+    monkeypatch.setattr(topk.IndexBlock, "_rescore", lambda self, best, row, q_id, q, who: (rescored.append(len(who)), rescore(self, best, row, q_id, q, who)))
+    monkeypatch.setattr(np, "bincount", lambda x, *a: (met.append(len(x)), bincount(x, *a))[1])
+    for q in range(20):
+        blocks[1].search(best, q, q, vectors[q])
+    for q in range(20):
+        scores = vectors @ vectors[q]
+        order = [i for i in np.lexsort((ids, -scores)) if i != q][:10]
+        assert best.ids[q].tolist() == order and best.scores[q].tolist() == scores[order].tolist()
+    assert 0 < sum(met) < 0.8 * 20 * 2000 * 32 and 0 < sum(rescored) < 0.25 * 20 * 2000
+
+
+def test_best_keeps_ties_to_smaller_ids():
+    best = topk.Best(1, 3)
+    best.merge(0, np.array([5, 7, 5, 5, 1]), np.array([9, 4, 8, 2, 1]))
+    best.merge(0, np.array([5, 5, 4, 5, 5]), np.array([3, 1, 0, 7, 6]))
+    assert best.ids[0].tolist() == [4, 1, 2] and best.scores[0].tolist() == [7, 5, 5]
