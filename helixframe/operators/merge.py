@@ -39,10 +39,15 @@ def shortest(value: str) -> Column:
     return F.min(F.struct((F.col(value)[1] - F.col(value)[0]).alias("d"), F.col(value).alias("v")))["v"]
 
 
-def weighted_majority(df: DataFrame, keys: list[str], value: str, weight: Column) -> DataFrame:
-    """(keys, value): the value with the largest summed weight; ties to the smaller value."""
-    sums = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.sum(weight).alias("__w"))
-    return sums.groupBy(*keys).agg(F.max_by(F.col(value), F.struct(F.col("__w"))).alias("__any"), F.max("__w").alias("__m")).drop("__any").join(sums, keys).where("__w = __m").groupBy(*keys).agg(F.min(value).alias(value))
+def weighted_majority(df: DataFrame, keys: list[str], value: str, weight: Column, nulls: bool = False) -> DataFrame:
+    """(keys, value): the value with the largest summed weight; ties to the smaller value. With
+    ``nulls`` a missing value is one of the values, the last of a tie. Values without any weight
+    come last."""
+    votes = df if nulls else df.where(F.col(value).isNotNull())
+    sums = votes.groupBy(*keys, value).agg(F.sum(weight).alias("__w"))
+    # ranked where they are: sums of doubles that are made a second time, in another order, need not be equal
+    w = Window.partitionBy(*keys).orderBy(F.col("__w").desc_nulls_last(), F.col(value).asc_nulls_last())
+    return sums.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r", "__w")
 
 
 ACTIONS = {"max": F.max, "min": F.min, "sum": F.sum, "set": value_set, "first": lambda c: F.first(c, ignorenulls=True), "shortest": shortest}

@@ -250,3 +250,37 @@ def test_weighted_scores_keep_their_decimals(spark, sf):
     assert ", 3), 2) AS score" in SQL["collapse_weighted"]
     scores = [r["score"] for r in QUERIES["collapse_weighted"](spark, sf).select("score").collect()]
     assert any(s != round(s) for s in scores) and all(s == round(s, 2) for s in scores)
+
+
+def test_weighted_majority_sums_in_any_order(spark):
+    # rows come in another order each time they are read, as shuffled rows do on a cluster
+    shuffled = lambda frames: (f.sample(frac=1, random_state=np.random.default_rng()) for f in frames)
+    df = spark.range(0, 6000, 1, 2).selectExpr("id % 100 AS k", "CASE WHEN id % 3 = 0 THEN 'a' ELSE 'b' END AS v", "rand(1) AS w").localCheckpoint()
+    mixed = df.mapInPandas(shuffled, df.schema)
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        got = merge.weighted_majority(mixed, ["k"], "v", F.col("w")).collect()
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+    sums = {}
+    for r in df.collect():
+        sums[r["k"], r["v"]] = sums.get((r["k"], r["v"]), 0) + r["w"]
+    assert sorted(map(tuple, got)) == [(k, max("ab", key=lambda v: sums[k, v])) for k in range(100)]
+
+
+def test_weighted_majority_of_missing_values(spark, tmp_path):
+    import duckdb
+
+    from helixframe.catalog import QUERIES, SQL
+
+    rows = [(None, "a", 1.0), (None, "b", 2.0), (1, None, 5.0), (1, "a", 4.0), (2, "b", None), (2, "a", None), (3, "b", 1.0), (3, "a", 1.0), (3, None, 1.0), (4, "a", float("nan")), (4, "b", 9.0), (5, None, None), (6, "a", None), (6, "b", -1.0)]
+    orders = spark.createDataFrame(rows, "o_custkey long, o_orderpriority string, o_totalprice double")
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    order = lambda rows: sorted(map(tuple, rows), key=str)
+    c = duckdb.connect()
+    c.execute(f"create view orders as select * from '{tmp_path}/orders.parquet/*.parquet'")
+    expected = c.sql(SQL["weighted_majority"]).fetchall()
+    assert len(expected) == 7
+    assert order(QUERIES["weighted_majority"](spark, str(tmp_path)).collect()) == order(expected)
+    present = merge.weighted_majority(orders, ["o_custkey"], "o_orderpriority", F.col("o_totalprice"))
+    assert order(present.collect()) == order([(None, "b"), (1, "a"), (2, "a"), (3, "a"), (4, "a"), (6, "b")])
